@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from larkspan.llm import fingerprints, substrings, topk
+from larkspan.llm import fingerprints, packing, substrings, topk
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_fingerprints": fingerprints.op2_fingerprints,
         "op3_topk": topk.op3_topk,
+        "op6_packing": packing.op6_packing,
         "op7_substrings": substrings.op7_substrings,
     }
 
