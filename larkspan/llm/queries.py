@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from larkspan.llm import fingerprints, packing, substrings, topk
+from larkspan.llm import fingerprints, neardup, packing, substrings, topk, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,6 +15,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_topk": topk.op3_topk,
         "op6_packing": packing.op6_packing,
         "op7_substrings": substrings.op7_substrings,
+        "op9_neardup": neardup.op9_neardup,
+        "op10_toxicity": toxicity.op10_toxicity,
     }
 
 
