@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from larkspan.llm import fingerprints, neardup, packing, substrings, topk, toxicity
+from larkspan.llm import fingerprints, neardup, packing, privacy, substrings, topk, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_fingerprints": fingerprints.op2_fingerprints,
         "op3_topk": topk.op3_topk,
+        "op5_private": privacy.op5_private,
         "op6_packing": packing.op6_packing,
         "op7_substrings": substrings.op7_substrings,
         "op9_neardup": neardup.op9_neardup,
