@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from larkspan.llm import fingerprints, neardup, packing, privacy, substrings, topk, toxicity
+from larkspan.llm import fingerprints, neardup, packing, privacy, substrings, suffixtree, topk, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -16,6 +16,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_private": privacy.op5_private,
         "op6_packing": packing.op6_packing,
         "op7_substrings": substrings.op7_substrings,
+        "op8_suffixtree": suffixtree.op8_suffixtree,
         "op9_neardup": neardup.op9_neardup,
         "op10_toxicity": toxicity.op10_toxicity,
     }
