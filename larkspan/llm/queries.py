@@ -6,13 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from larkspan.llm import fingerprints, neardup, packing, privacy, substrings, suffixtree, topk, toxicity
+from larkspan.llm import fingerprints, htmltext, mixing, neardup, packing, privacy, substrings, suffixtree, topk, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_mixing": mixing.op1_mixing,
         "op2_fingerprints": fingerprints.op2_fingerprints,
         "op3_topk": topk.op3_topk,
+        "op4_htmltext": htmltext.op4_htmltext,
         "op5_private": privacy.op5_private,
         "op6_packing": packing.op6_packing,
         "op7_substrings": substrings.op7_substrings,
