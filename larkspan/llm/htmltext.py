@@ -294,9 +294,9 @@ def labelled_page(r: random.Random) -> list[tuple[str, int]]:
 
 def labelled_blocks(pieces: list[tuple[str, int]]) -> list[tuple[list[str], int]]:
     """Features and labels of a labelled page's leaf blocks. A text's label is marked inside it, then taken off."""
-    marked = "".join(re.sub(r"(>|^)([^<>]*[^<>\s][^<>]*)(?=<|$)", lambda m: m.group(1) + f"{y}" + m.group(2), s) for s, y in pieces)
+    marked = "".join(re.sub(r"(>|^)([^<>]*[^<>\s][^<>]*)(?=<|$)", lambda m: m.group(1) + f"\ue000{y}" + m.group(2), s) for s, y in pieces)
     plain = leaf_blocks("".join(s for s, _ in pieces))
-    return [(x, int("1" in text)) for (text, _), (_, x) in zip(leaf_blocks(marked), plain)]
+    return [(x, int("\ue0001" in text)) for (text, _), (_, x) in zip(leaf_blocks(marked), plain)]
 
 
 def trained(pages: int = PAGES, seed: int = SEED, steps: int = STEPS) -> Chain:

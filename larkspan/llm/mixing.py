@@ -97,17 +97,19 @@ def mix(docs: DataFrame, weights: dict = WEIGHTS, share: float = SHARE, epochs:
         F.md5(blank(text)).alias("tie"),
         *([F.struct(*[F.col(c) for c in keep]).alias("row")] if keep else []),
     )
-    slim = cut(rows.drop("row"))
+    slim = cut(rows.select("doc_id", *LEVELS, "n_tokens", "tie"))
+    taking = rows if keep else slim  # with columns to keep, documents are read again: only sums were written
     leaves = slim.groupBy(*LEVELS).agg(F.sum("n_tokens").alias("tokens"))
     total = leaves.select(F.sum("tokens").alias("n")).first().n or 0
     plan = budgets(leaves, int(total) * int(round(share * 1000)) // 1000, weights, epochs)
     plan = plan.withColumn("whole", F.expr("case when tokens > 0 then budget div tokens else 0 end")).withColumn("part", F.expr("case when tokens > 0 then budget % tokens else 0 end"))
     plan = cut(plan.select(*LEVELS, F.col("whole").cast("int").alias("whole"), "part"))
-    taken = ("doc_id", *LEVELS, "n_tokens", "tie")
-    placed = slim.join(plan, list(LEVELS))
+    taken = ("doc_id", *LEVELS, "n_tokens", "tie", *(["row"] if keep else []))
+    placed = taking.join(plan, list(LEVELS))
     mark = F.md5(F.concat_ws(":", F.lit(seed), F.col("whole").cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
-    marked = placed.where("part > 0").withColumn("mark", mark).withColumn("bucket", F.substring("mark", 1, DIGITS))
-    sums = marked.groupBy(*LEVELS, "part", "bucket").agg(F.sum("n_tokens").alias("n"))
+    into = lambda df: df.where("part > 0").withColumn("mark", mark).withColumn("bucket", F.substring("mark", 1, DIGITS))
+    marked = into(placed)
+    sums = into(slim.join(plan, list(LEVELS))).groupBy(*LEVELS, "part", "bucket").agg(F.sum("n_tokens").alias("n"))
     run = F.sum("n").over(Window.partitionBy(*LEVELS).orderBy("bucket"))
     edges = cut(sums.withColumn("begin", run - F.col("n")).where("begin < part").select(*LEVELS, "bucket", "begin", (F.col("part") - F.col("begin") >= F.col("n")).alias("inside")))
     # of each leaf: all buckets before the last are inside, the last may be cut
@@ -122,5 +124,13 @@ def mix(docs: DataFrame, weights: dict = WEIGHTS, share: float = SHARE, epochs:
     return out if keep else out.drop("tie")
 
 
+def mixed_documents(docs: DataFrame, text: str = "text", **settings) -> DataFrame:
+    """docs as taken: rows of several epochs repeat, and a document cut at the end of a prefix holds the words taken."""
+    out = mix(docs, text=text, keep=docs.columns, **settings)
+    cut_text = F.expr(f"regexp_extract(row.`{text}`, concat(r'^(?:[\\x20\\x09-\\x0D]*+[^\\x20\\x09-\\x0D]++){{', cast(taken as string), r'}}+'), 0)")
+    text_of = F.when(F.col("taken") < F.col("n_tokens"), cut_text).otherwise(F.col(f"row.`{text}`"))
+    return out.select(*[text_of.alias(c) if c == text else F.col(f"row.`{c}`").alias(c) for c in docs.columns])
+
+
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).select("doc_id", *LEVELS, F.col("epoch").cast("long").alias("epoch"), "n_tokens", F.col("taken").cast("long").alias("taken"))

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
 from larkspan.llm import fingerprints, htmltext, mixing, neardup, packing, privacy, substrings, suffixtree, topk, toxicity
 
 
@@ -21,8 +22,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_suffixtree": suffixtree.op8_suffixtree,
         "op9_neardup": neardup.op9_neardup,
         "op10_toxicity": toxicity.op10_toxicity,
+        "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_topk": topk.OP3_SQL}
+    out = {"op3_topk": topk.OP3_SQL}
+    if corpus_pipeline.ORACLE_SQL:
+        out["pipeline"] = corpus_pipeline.ORACLE_SQL
+    return out

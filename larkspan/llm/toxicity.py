@@ -243,6 +243,21 @@ def score(docs: DataFrame, model: Scorer, doc_id: str = "doc_id", text: str = "t
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), blank(text).alias("t")).mapInArrow(run, f"doc_id bigint, score double, passages {PASSAGES}")
 
 
+def accepted(docs: DataFrame, model: Scorer, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of docs, all columns, that score below threshold."""
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = sent.value
+        known = model.table()
+        for batch in batches:
+            stay = [model.probability(model.evidence(model.passages(t, known)[0])) < threshold for t in batch.column(at).to_pylist()]
+            yield batch.filter(pa.array(stay, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def held_out(doc_id):
     return F.crc32(doc_id.cast("string")) % 4 == 2
 
