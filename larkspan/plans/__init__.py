@@ -1 +1,16 @@
+"""Plans: registered queries over a folder of tables, with the SQL that checks them."""
 
+from __future__ import annotations
+
+from larkspan.plans import catalogue, retrieval, texts
+from larkspan.plans.common import Query
+
+MODULES = (retrieval, catalogue, texts)
+
+
+def queries() -> dict[str, Query]:
+    return {k: f for m in MODULES for k, f in m.QUERIES.items()}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {k: s for m in MODULES for k, s in m.SQL.items()}
