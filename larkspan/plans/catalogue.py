@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larkspan.functions import idents as I
@@ -57,19 +57,20 @@ def raw_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").selectExpr("case when l_partkey % 50 = 7 then '' else concat('IS ', l_partkey + 100, ':', 1990 + l_partkey % 30) end raw", "cast(l_suppkey % 10 as bigint) seed", "l_orderkey", "l_linenumber", "l_returnflag", "l_quantity")
 
 
-RULES = {"no_identifier": F.col("raw").rlike("[0-9]"), "no_quantity": F.col("l_quantity") > 1}
+def rules() -> dict[str, Column]:
+    return {"no_identifier": F.col("raw").rlike("[0-9]"), "no_quantity": F.col("l_quantity") > 1}
 
 
 def catalogue_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """AGG-06, WIN-05, D11: one entry for each identifier, the first seen, with occurrences and seeds."""
-    good, _ = C.split_valid(raw_observations(spark, sf_dir), RULES)
+    good, _ = C.split_valid(raw_observations(spark, sf_dir), rules())
     out = C.deduped(good, "raw", ["l_orderkey", "l_linenumber", "l_quantity", "l_returnflag"], "seed", ["l_orderkey", "l_returnflag"])
     return out.select("raw", "l_orderkey", "l_returnflag", "occurrences", F.array_join(F.transform("seeds", lambda x: x.cast("string")), ",").alias("seeds"))
 
 
 def catalogue_quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
     """FLT-06, FLT-07, SNK-03: quarantined rows by their errors."""
-    _, bad = C.split_valid(raw_observations(spark, sf_dir), RULES)
+    _, bad = C.split_valid(raw_observations(spark, sf_dir), rules())
     return bad.groupBy(F.array_join("errors", ",").alias("errors")).agg(F.count("*").alias("n"))
 
 
