@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from larkspan.plans import catalogue, retrieval, texts
+from larkspan.plans import audit, catalogue, retrieval, texts
 from larkspan.plans.common import Query
 
-MODULES = (retrieval, catalogue, texts)
+MODULES = (retrieval, catalogue, texts, audit)
 
 
 def queries() -> dict[str, Query]:
