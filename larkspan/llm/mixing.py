@@ -134,3 +134,45 @@ def mixed_documents(docs: DataFrame, text: str = "text", **settings) -> DataFram
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).select("doc_id", *LEVELS, F.col("epoch").cast("long").alias("epoch"), "n_tokens", F.col("taken").cast("long").alias("taken"))
+
+
+def _level_sql(name: str, parent: str, keys: str, nodes: str) -> str:
+    """CTEs that share each parent's budget among nodes (keys, cap, w, budget); the last is name."""
+    order = f"partition by {parent} order by cap::double / w, cap, {keys}"
+    return f"""
+{name}_n as ({nodes}),
+{name}_a as (select *, coalesce(sum(cap) over ({order} rows between unbounded preceding and 1 preceding), 0) cap_before,
+  sum(w) over (partition by {parent}) - coalesce(sum(w) over ({order} rows between unbounded preceding and 1 preceding), 0) w_from from {name}_n where w > 0),
+{name}_f as (select *, cap * w_from <= greatest(budget - cap_before, 0) * w as used_up from {name}_a),
+{name}_o as (select *, max(case when used_up then 0 else 1 end) over ({order} rows between unbounded preceding and current row) as is_open from {name}_f),
+{name}_r as (select *, budget - sum(case when is_open = 0 then cap else 0 end) over (partition by {parent}) rest, sum(case when is_open = 1 then w else 0 end) over (partition by {parent}) w_open from {name}_o),
+{name}_w as (select *, case when is_open = 1 then rest * w // w_open else cap end whole, case when is_open = 1 then rest * w % w_open else -1 end odd from {name}_r),
+{name}_s as (select *, rest - sum(case when is_open = 1 then whole else 0 end) over (partition by {parent}) spare, row_number() over (partition by {parent} order by odd desc, {keys}) nth from {name}_w),
+{name} as (select {keys}, (whole + case when is_open = 1 and nth <= spare then 1 else 0 end) budget from {name}_s)"""
+
+
+def _weight_sql(level: str) -> str:
+    cases = " ".join(f"when '{k}' then {int(v)}" for k, v in WEIGHTS[level].items())
+    return f"case {level} {cases} else 1 end" if cases else "1"
+
+
+OP1_SQL = (
+    rf"""
+with d as (select doc_id, coalesce(text, '') t, regexp_extract(coalesce(source, ''), '([0-9]{{1,9}})$', 1) num, coalesce(lang, '') lang, coalesce(source, '') source from documents),
+docs as (select doc_id, md5(t) tie, case when num = '' then 'd3' else 'd' || (num::int % 4) end as domain, lang, source, len(regexp_extract_all(t, '[^\x20\x09-\x0D]+')) n_tokens from d),
+leaf as (select domain, lang, source, sum(n_tokens) tokens, sum(n_tokens) * {EPOCHS} cap from docs group by all),
+goal as (select sum(tokens) * {int(round(SHARE * 1000))} // 1000 total, sum(cap) cap from leaf),"""
+    + _level_sql("dom", "1", "domain", f"select domain, sum(leaf.cap) cap, {_weight_sql('domain')} w, least(any_value(total), any_value(goal.cap)) budget from leaf, goal group by domain")
+    + ","
+    + _level_sql("lng", "domain", "domain, lang", f"select domain, lang, sum(cap) cap, {_weight_sql('lang')} w, any_value(budget) budget from leaf join dom using (domain) group by domain, lang")
+    + ","
+    + _level_sql("src", "domain, lang", "domain, lang, source", f"select domain, lang, source, cap, {_weight_sql('source')} w, budget from leaf join lng using (domain, lang)")
+    + f""",
+plan as (select domain, lang, source, budget // tokens as epochs, budget % tokens part from src join leaf using (domain, lang, source) where tokens > 0),
+placed as (select docs.*, epochs, part from docs join plan using (domain, lang, source)),
+marked as (select *, md5('{SEED}:' || epochs || ':' || coalesce(doc_id::varchar, '')) mark from placed where part > 0),
+run as (select *, sum(n_tokens) over (partition by domain, lang, source order by mark, tie rows unbounded preceding) - n_tokens at from marked)
+select doc_id, domain, lang, source, epoch, n_tokens, n_tokens taken from (select *, unnest(range(epochs::bigint)) epoch from placed)
+union all select doc_id, domain, lang, source, epochs::bigint, n_tokens, least(n_tokens, part - at)::bigint from run where at < part
+"""
+).replace(" at from marked", ' as "at" from marked').replace("part - at)", 'part - "at")').replace("where at <", 'where "at" <')

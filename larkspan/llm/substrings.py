@@ -192,6 +192,19 @@ def op7_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+OP7_SQL = r"""
+with d as (select doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') w from documents),
+s as (select doc_id, w, unnest(range(1, len(w) - 48)) i from d where len(w) >= 50),
+win as (select doc_id, i, array_to_string(w[i:i + 49], ' ') k from s),
+least as (select k, min(doc_id) first from win group by k),
+bad as (select doc_id, i from win join least using (k) where first < doc_id),
+gone as (select distinct doc_id, unnest(range(i, i + 50)) p from bad),
+words as (select doc_id, unnest(w) word, generate_subscripts(w, 1) p from d),
+rest as (select doc_id, string_agg(word, ' ' order by p) kept, count(*) n from words anti join gone using (doc_id, p) group by doc_id)
+select doc_id, len(w) n_words, len(w) - coalesce(n, 0) n_removed, sha256(coalesce(kept, '')) kept_sha256 from d left join rest using (doc_id)
+"""
+
+
 def brute_force(rows: list[tuple[int, str]], size: int = SIZE) -> dict[int, tuple[int, int, str]]:
     """What dedup_substrings finds, by a table of all windows (small inputs only)."""
     least: dict[tuple, int] = {}
