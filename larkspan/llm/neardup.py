@@ -5,11 +5,13 @@ as 64-bit hashes. In SuperMinHash every element has a random permutation of the
 the register that its permutation names at each level. Levels are worked through for a batch of documents at a time, and
 a document stops as soon as all its registers are filled, since higher levels can't lower them.
 
-BANDS bands of M / BANDS registers make candidates; at a similarity of 0.75 a link shares no band with probability 5e-6.
-Documents with equal sets become one class first. Within a bucket no list of all pairs is made: each member is compared
-with one centre of its bucket. Classes that verified links join become one component, and only pairs of a bucket that
-still lie in different components are compared further: with other centres as long as those are many, then all of them.
-So a large group of copies costs about one comparison a member, and no link between components is lost.
+BANDS bands of ROWS registers make candidates; at a similarity of 0.75 a link shares no band with probability 5e-6.
+Documents with equal sets become one class first. Within a bucket no list of all pairs is made: members are compared with
+a few centres of their bucket, and classes that verified links join become one component. After two such rounds only pairs
+of a bucket that still lie in different components are compared, inside the join, by the sizes of their sets and by four
+bits of each of the M registers; those whose likeness may reach the limit (five standard errors, or one link in three
+million) are verified. So a large group of copies costs a few comparisons a member, unlike texts that share a passage
+leave no rows, and no link between components is lost.
 
 Links and components stay distributed; each round is written to the shared folder.
 
@@ -30,7 +32,7 @@ from pyspark.sql import functions as F
 
 from larkspan.llm._common import blank, cut, table
 
-WORDS, PERCENT, M, BANDS, SEED = 5, 75, 128, 32, 29
+WORDS, PERCENT, M, BANDS, ROWS, SEED = 5, 75, 256, 32, 4, 29
 EMPTY = np.iinfo(np.uint64).max
 STEP = np.uint64(0x9E3779B97F4A7C15)
 
@@ -103,17 +105,34 @@ def signatures(sets: list[np.ndarray], m: int = M, seed: int = SEED) -> np.ndarr
     return out
 
 
-def band_hashes(registers: np.ndarray, bands: int = BANDS) -> np.ndarray:
-    rows = registers.shape[1] // bands
-    parts = registers.reshape(len(registers), bands, rows)
+def band_hashes(registers: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np.ndarray:
+    parts = registers[:, : bands * rows].reshape(len(registers), bands, rows)
     h = np.broadcast_to(np.arange(1, bands + 1, dtype=np.uint64), parts.shape[:2]).copy()
     for j in range(rows):
         h = mix(h * STEP + parts[:, :, j])
     return h
 
 
+def packed_bits(registers: np.ndarray) -> np.ndarray:
+    """Four bits of each register, sixteen registers in an integer."""
+    four = (mix(registers) & np.uint64(15)).reshape(len(registers), -1, 16)
+    return (four << (np.arange(16, dtype=np.uint64) * np.uint64(4))).sum(2, dtype=np.uint64)
+
+
+def alike(a: str, b: str, m: int = M, percent: int = PERCENT) -> str:
+    """SQL: the sizes a.n, b.n and the bits a.bits, b.bits allow a similarity of percent. Of m registers a share of
+    j + (1 - j) / 16 has equal bits at similarity j."""
+    j = percent / 100
+    p = j + (1 - j) / 16
+    most = m - (m * p - 5 * (m * p * (1 - p)) ** 0.5)
+    x = [f"({a}.bits[{i}] ^ {b}.bits[{i}])" for i in range(m // 16)]
+    fold = lambda v: f"({v} | shiftrightunsigned({v}, 1) | shiftrightunsigned({v}, 2) | shiftrightunsigned({v}, 3))"
+    unequal = " + ".join(f"bit_count({fold(v)} & 1229782938247303441L)" for v in x)
+    return f"(100 * least({a}.n, {b}.n) >= {percent} * greatest({a}.n, {b}.n) and {unequal} <= {int(most)})"
+
+
 def signed(docs: DataFrame, m: int = M, bands: int = BANDS, words: int = WORDS) -> DataFrame:
-    """(k, n, h1, h2, bands) for rows (k, t): size and hash of the set, and its band hashes."""
+    """(k, n, h1, h2, bands, bits) for rows (k, t): size and hash of the set, its band hashes and register bits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(words)
@@ -127,14 +146,15 @@ def signed(docs: DataFrame, m: int = M, bands: int = BANDS, words: int = WORDS)
                     sets.append(shingler.set_of(texts[at].as_py()))
                     size += len(sets[-1])
                     at += 1
-                h = band_hashes(signatures(sets, m), bands)
+                registers = signatures(sets, m)
+                h, bits = band_hashes(registers, bands), packed_bits(registers)
                 n = [len(s) for s in sets]
                 h1 = np.array([s.sum(dtype=np.uint64) for s in sets], np.uint64)
                 h2 = np.array([mix(s + STEP).sum(dtype=np.uint64) for s in sets], np.uint64)
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * bands), pa.array(h.reshape(-1).view(np.int64)))
-                yield pa.RecordBatch.from_arrays([keys.slice(begin, at - begin), pa.array(n, pa.int32()), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), lists], ["k", "n", "h1", "h2", "bands"])
+                lists = [pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * x.shape[1]), pa.array(x.reshape(-1).view(np.int64))) for x in (h, bits)]
+                yield pa.RecordBatch.from_arrays([keys.slice(begin, at - begin), pa.array(n, pa.int32()), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), *lists], ["k", "n", "h1", "h2", "bands", "bits"])
 
-    return docs.mapInArrow(run, "k bigint, n int, h1 bigint, h2 bigint, bands array<bigint>")
+    return docs.mapInArrow(run, "k bigint, n int, h1 bigint, h2 bigint, bands array<bigint>, bits array<bigint>")
 
 
 def sets_of(docs: DataFrame, words: int = WORDS) -> DataFrame:
@@ -156,6 +176,8 @@ def components(links: DataFrame) -> DataFrame:
     """(k, c): the smallest member of the connected component of each node of links (a, b). Labels spread to neighbours and
     then jump to the label's label, so that the number of rounds grows with the logarithm of a component's width."""
     both = cut(links.select(F.col("a").alias("x"), F.col("b").alias("y")).union(links.select("b", "a")).distinct())
+    if both.isEmpty():
+        return both.select(F.col("x").alias("k"), F.col("y").alias("c"))
     labels = cut(both.groupBy(F.col("x").alias("k")).agg(F.least(F.min("y"), F.first("x")).alias("c")))
     while True:
         near = both.join(labels, both.y == labels.k).groupBy("x").agg(F.min("c").alias("m"))
@@ -175,7 +197,7 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataF
     small, large = F.least(F.size("sa"), F.size("sb")), F.greatest(F.size("sa"), F.size("sb"))
     joined = pairs.join(left, "a").join(right, "b").where(100 * small >= percent * large)
     joined = joined.withColumn("i", F.size(F.array_intersect("sa", "sb")))
-    return joined.where(100 * F.col("i") >= percent * (F.size("sa") + F.size("sb") - F.col("i"))).select("a", "b").distinct()
+    return joined.where(100 * F.col("i") >= percent * (F.size("sa") + F.size("sb") - F.col("i")))
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = PERCENT, m: int = M, bands: int = BANDS, words: int = WORDS) -> DataFrame:
@@ -183,47 +205,34 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     rows = docs.select(F.col(doc_id).cast("long").alias("k"), blank(text).alias("t"))
     known = cut(signed(rows, m, bands, words))
     filled = known.where("k is not null and n > 0")
-    classes = filled.groupBy("h1", "h2", "n").agg(F.min("k").alias("rep"), F.first("bands").alias("bands"))
-    classes = cut(classes)
-    banded = classes.select(F.col("rep").alias("k"), F.explode("bands").alias("band"))
+    classes = cut(filled.groupBy("h1", "h2", "n").agg(F.min("k").alias("rep"), F.first("bands").alias("bands"), F.first("bits").alias("bits")))
+    banded = classes.select(F.col("rep").alias("k"), F.posexplode("bands").alias("i", "band"))
     crowded = banded.groupBy("band").agg(F.min("k").alias("lo"), F.max("k").alias("hi")).where("lo < hi").select("band")
-    members = cut(banded.join(crowded, "band").distinct())
+    members = cut(banded.join(crowded, "band"))
     involved = members.select("k").distinct()
-    sets = cut(sets_of(rows.join(involved, "k", "left_semi"), words).distinct())
-    tested = links = None
-    comp = cut(involved.select("k", F.col("k").alias("c")))
-    crossing = last = None
-    for turn in range(64):
-        placed = members.join(comp, "k").select("band", "k", "c")
-        # bands whose members lie in several components, and how many pairs of theirs do
-        parts = placed.groupBy("band", "c").agg(F.count("*").alias("n"))
-        bands_left = parts.groupBy("band").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("sq"), F.count("*").alias("parts")).where("parts > 1")
-        bands_left = cut(bands_left.withColumn("pairs", (F.col("n") * F.col("n") - F.col("sq")) / 2))
-        crossing = bands_left.agg(F.sum("pairs"), F.sum("n")).first()
-        if not crossing[0]:
-            break
-        open_ = placed.join(bands_left.select("band"), "band")
-        finish = turn >= 2 and (crossing[0] <= 8 * crossing[1] or crossing[0] == last)
-        if finish:  # all that is left, by components
-            a = open_.select("band", F.col("k").alias("a"), F.col("c").alias("ca"))
-            b = open_.select("band", F.col("k").alias("b"), F.col("c").alias("cb"))
-            pairs = a.join(b, "band").where("ca <> cb and a < b").select("a", "b").distinct()
-        else:
-            pick = F.struct((F.xxhash64("k", F.lit(turn)) if turn else F.col("k")).alias("by"), F.col("k"), F.col("c"))
-            centre = open_.groupBy("band").agg(F.min(pick).alias("x")).select("band", F.col("x.k").alias("o"), F.col("x.c").alias("oc"))
-            pairs = open_.join(centre, "band").where("c <> oc").select(F.least("k", "o").alias("a"), F.greatest("k", "o").alias("b")).distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = cut(pairs)
-        found = cut(verified(pairs, sets, percent))
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        links = found if links is None else links.unionByName(found)
-        last = crossing[0]
-        if not found.isEmpty():
-            own = components(links)
-            comp = cut(comp.select("k").join(own, "k", "left").select("k", F.coalesce("c", "k").alias("c")))
-        if finish:
-            break
+    all_bands = classes.select(F.col("rep").alias("k"), "bands")
+    shapes = cut(classes.join(involved, classes.rep == involved.k, "left_semi").select(F.col("rep").alias("k"), F.struct("n", "bits").alias("shape")))
+    sets = cut(sets_of(rows.join(involved, "k", "left_semi"), words).dropDuplicates())
+    comp = shapes.select("k", F.col("k").alias("c"))
+    for turn in range(3):
+        placed = members.join(shapes, "k").join(comp, "k") if turn else members.join(shapes, "k").withColumn("c", F.col("k"))
+        me = F.struct("k", "c", "shape")
+        by = lambda i: F.struct((F.xxhash64("k", F.lit(i)) if i else F.col("k")).alias("by"), me.alias("x"))
+        per_band = placed.groupBy("band").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), *[F.min(by(i)).alias(f"o{i}") for i in ((0,), (1, 2), ())[turn]]).where("c0 < c1")
+        if turn < 2:
+            centres = per_band.select("band", F.explode(F.array(*[F.col(f"o{i}.x") for i in ((0,), (1, 2))[turn]])).alias("o"))
+            near = placed.join(centres, "band").where(f"c <> o.c and {alike('shape', 'o.shape', m, percent)}")
+            pairs = near.select(F.least("k", "o.k").alias("a"), F.greatest("k", "o.k").alias("b"), F.least("c", "o.c").alias("ca"), F.greatest("c", "o.c").alias("cb"))
+        else:  # all that is left, by components
+            left = placed.join(per_band.select("band"), "band", "left_semi").join(all_bands, "k").select("band", "i", "k", "c", "shape", "bands")
+            x, y = left.alias("x"), left.alias("y")
+            # a pair counts in the first band that it shares
+            before = " or ".join(f"x.i > {i} and x.bands[{i}] = y.bands[{i}]" for i in range(bands - 1))
+            near = x.join(y, F.expr(f"x.band = y.band and x.c <> y.c and x.k < y.k and {alike('x.shape', 'y.shape', m, percent)} and not ({before})"))
+            pairs = near.selectExpr("x.k a", "y.k b", "least(x.c, y.c) ca", "greatest(x.c, y.c) cb")
+        found = verified(pairs.dropDuplicates(["a", "b"]), sets, percent).select(F.col("ca").alias("a"), F.col("cb").alias("b"))
+        own = components(cut(found))  # of components that new links join
+        comp = cut(comp.join(own.select(F.col("k").alias("c"), F.col("c").alias("lower")), "c", "left").select("k", F.coalesce("lower", "c").alias("c")))
     linked = comp.where("c <> k")
     of_class = classes.join(linked, classes.rep == linked.k, "left").select("h1", "h2", "n", F.coalesce("c", "rep").alias("c"))
     out = known.select("k", "n", "h1", "h2").join(of_class, ["h1", "h2", "n"], "left")
@@ -243,6 +252,20 @@ def op9_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+OP9_SQL = r"""
+with recursive d as (select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') w from documents),
+p as (select doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) i from d where len(w) > 0),
+s as (select distinct doc_id, array_to_string(w[i:i + 4], ' ') k from p),
+n as (select doc_id, count(*) n from s group by doc_id),
+shared as (select a.doc_id a, b.doc_id b, count(*) c from s a join s b on a.k = b.k and a.doc_id < b.doc_id group by all),
+link as (select a, b from shared join n x on x.doc_id = a join n y on y.doc_id = b where 100 * c >= 75 * (x.n + y.n - c)),
+ends as (select a, b from link union all select b, a from link),
+reach as (select doc_id, doc_id other from d union select reach.doc_id, ends.b from reach join ends on ends.a = reach.other),
+comp as (select doc_id, min(other) component_id from reach group by doc_id)
+select doc_id, coalesce(n, 0) n_shingles, component_id, doc_id = component_id kept from comp left join n using (doc_id)
+"""
+
+
 def brute_force(rows: list[tuple[int, str]], percent: int = PERCENT, words: int = WORDS) -> dict[int, tuple[int, int, bool]]:
     """What near_duplicates finds, by comparing all pairs (small inputs only)."""
     sets = {}

@@ -27,7 +27,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    out = {"op3_topk": topk.OP3_SQL}
+    out = {"op1_mixing": mixing.OP1_SQL, "op3_topk": topk.OP3_SQL, "op7_substrings": substrings.OP7_SQL, "op9_neardup": neardup.OP9_SQL}
     if corpus_pipeline.ORACLE_SQL:
         out["pipeline"] = corpus_pipeline.ORACLE_SQL
     return out
