@@ -8,9 +8,9 @@ a document stops as soon as all its registers are filled, since higher levels ca
 BANDS bands of ROWS registers make candidates; at a similarity of 0.75 a link shares no band with probability 5e-6.
 Documents with equal sets become one class first. Within a bucket no list of all pairs is made: members are compared with
 a few centres of their bucket, and classes that verified links join become one component. After two such rounds only pairs
-of a bucket that still lie in different components are compared, inside the join, by the sizes of their sets and by four
-bits of each of the M registers; those whose likeness may reach the limit (five standard errors, or one link in three
-million) are verified. So a large group of copies costs a few comparisons a member, unlike texts that share a passage
+of a bucket that still lie in different components are compared, inside the join, by the sizes of their sets, by bit maps
+(an exact bound) and by four bits of each of the M registers; those whose likeness may reach the limit (five standard
+errors, or one link in three million) are verified. So a large group of copies costs a few comparisons a member, unlike texts that share a passage
 leave no rows, and no link between components is lost.
 
 Links and components stay distributed; each round is written to the shared folder.
@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from larkspan.llm._common import blank, cut, table
 
-WORDS, PERCENT, M, BANDS, ROWS, SEED = 5, 75, 256, 32, 4, 29
+WORDS, PERCENT, M, BANDS, ROWS, SEED, MAP_BITS = 5, 75, 256, 32, 4, 29, 1024
 EMPTY = np.iinfo(np.uint64).max
 STEP = np.uint64(0x9E3779B97F4A7C15)
 
@@ -119,20 +119,33 @@ def packed_bits(registers: np.ndarray) -> np.ndarray:
     return (four << (np.arange(16, dtype=np.uint64) * np.uint64(4))).sum(2, dtype=np.uint64)
 
 
+def bitmaps(sets: list[np.ndarray]) -> np.ndarray:
+    """A map of MAP_BITS bits of each set, a bit for each hash value that an element has, in 64-bit integers."""
+    out = np.zeros((len(sets), MAP_BITS), bool)
+    doc = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    x = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
+    out[doc, (mix(x ^ STEP) % np.uint64(MAP_BITS)).astype(np.int64)] = True
+    return np.packbits(out, axis=1).view(np.uint64)
+
+
 def alike(a: str, b: str, m: int = M, percent: int = PERCENT) -> str:
-    """SQL: the sizes a.n, b.n and the bits a.bits, b.bits allow a similarity of percent. Of m registers a share of
-    j + (1 - j) / 16 has equal bits at similarity j."""
+    """SQL: the sizes a.n, b.n, the bits a.bits, b.bits and the maps a.map, b.map allow a similarity of percent.
+
+    Two sets of that similarity differ in at most (100 - percent) / (100 + percent) of the sum of their sizes, and each bit
+    in which their maps differ stands for an element that only one has: no link is lost by this. Of m registers a share
+    of j + (1 - j) / 16 has equal bits at similarity j; this is the sharper test for large sets."""
     j = percent / 100
     p = j + (1 - j) / 16
     most = m - (m * p - 5 * (m * p * (1 - p)) ** 0.5)
     x = [f"({a}.bits[{i}] ^ {b}.bits[{i}])" for i in range(m // 16)]
     fold = lambda v: f"({v} | shiftrightunsigned({v}, 1) | shiftrightunsigned({v}, 2) | shiftrightunsigned({v}, 3))"
     unequal = " + ".join(f"bit_count({fold(v)} & 1229782938247303441L)" for v in x)
-    return f"(100 * least({a}.n, {b}.n) >= {percent} * greatest({a}.n, {b}.n) and {unequal} <= {int(most)})"
+    differ = " + ".join(f"bit_count({a}.map[{i}] ^ {b}.map[{i}])" for i in range(MAP_BITS // 64))
+    return f"(100 * least({a}.n, {b}.n) >= {percent} * greatest({a}.n, {b}.n) and {100 + percent} * ({differ}) <= {100 - percent} * ({a}.n + {b}.n) and {unequal} <= {int(most)})"
 
 
 def signed(docs: DataFrame, m: int = M, bands: int = BANDS, words: int = WORDS) -> DataFrame:
-    """(k, n, h1, h2, bands, bits) for rows (k, t): size and hash of the set, its band hashes and register bits."""
+    """(k, n, h1, h2, bands, bits, map) for rows (k, t): size and hash of the set, band hashes, register bits and bit map."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(words)
@@ -147,14 +160,14 @@ def signed(docs: DataFrame, m: int = M, bands: int = BANDS, words: int = WORDS)
                     size += len(sets[-1])
                     at += 1
                 registers = signatures(sets, m)
-                h, bits = band_hashes(registers, bands), packed_bits(registers)
+                h, bits, maps = band_hashes(registers, bands), packed_bits(registers), bitmaps(sets)
                 n = [len(s) for s in sets]
                 h1 = np.array([s.sum(dtype=np.uint64) for s in sets], np.uint64)
                 h2 = np.array([mix(s + STEP).sum(dtype=np.uint64) for s in sets], np.uint64)
-                lists = [pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * x.shape[1]), pa.array(x.reshape(-1).view(np.int64))) for x in (h, bits)]
-                yield pa.RecordBatch.from_arrays([keys.slice(begin, at - begin), pa.array(n, pa.int32()), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), *lists], ["k", "n", "h1", "h2", "bands", "bits"])
+                lists = [pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * x.shape[1]), pa.array(x.reshape(-1).view(np.int64))) for x in (h, bits, maps)]
+                yield pa.RecordBatch.from_arrays([keys.slice(begin, at - begin), pa.array(n, pa.int32()), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), *lists], ["k", "n", "h1", "h2", "bands", "bits", "map"])
 
-    return docs.mapInArrow(run, "k bigint, n int, h1 bigint, h2 bigint, bands array<bigint>, bits array<bigint>")
+    return docs.mapInArrow(run, "k bigint, n int, h1 bigint, h2 bigint, bands array<bigint>, bits array<bigint>, map array<bigint>")
 
 
 def sets_of(docs: DataFrame, words: int = WORDS) -> DataFrame:
@@ -205,13 +218,13 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     rows = docs.select(F.col(doc_id).cast("long").alias("k"), blank(text).alias("t"))
     known = cut(signed(rows, m, bands, words))
     filled = known.where("k is not null and n > 0")
-    classes = cut(filled.groupBy("h1", "h2", "n").agg(F.min("k").alias("rep"), F.first("bands").alias("bands"), F.first("bits").alias("bits")))
+    classes = cut(filled.groupBy("h1", "h2", "n").agg(F.min("k").alias("rep"), F.first("bands").alias("bands"), F.first("bits").alias("bits"), F.first("map").alias("map")))
     banded = classes.select(F.col("rep").alias("k"), F.posexplode("bands").alias("i", "band"))
     crowded = banded.groupBy("band").agg(F.min("k").alias("lo"), F.max("k").alias("hi")).where("lo < hi").select("band")
     members = cut(banded.join(crowded, "band"))
     involved = members.select("k").distinct()
     all_bands = classes.select(F.col("rep").alias("k"), "bands")
-    shapes = cut(classes.join(involved, classes.rep == involved.k, "left_semi").select(F.col("rep").alias("k"), F.struct("n", "bits").alias("shape")))
+    shapes = cut(classes.join(involved, classes.rep == involved.k, "left_semi").select(F.col("rep").alias("k"), F.struct("n", "bits", "map").alias("shape")))
     sets = cut(sets_of(rows.join(involved, "k", "left_semi"), words).dropDuplicates())
     comp = shapes.select("k", F.col("k").alias("c"))
     for turn in range(3):
