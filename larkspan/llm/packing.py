@@ -42,7 +42,7 @@ class Runs(dict):
     """By run of characters without space: the ids of what goes before and that run. New runs are taken apart at a line
     break and before a last comma or full stop, as the tokenizer does, so that most parts are known already."""
 
-    KEPT = 400_000
+    KEPT, LONG = 400_000, 1000
 
     def __init__(self, packed, before: str):
         self.packed, self.before = packed, before
@@ -52,7 +52,12 @@ class Runs(dict):
             self.clear()
         head, line, rest = run.partition("\n")
         if line and head and rest:
-            ids = self[head] + self.kin[line] + self.kin[rest]
+            # one after the other: a run can have any number of lines
+            lines = rest[:-1].split(line)
+            lines[-1] += rest[-1]
+            ids = self[head] + b"".join(self.kin[line] + self.kin[x] for x in lines)
+            if len(run) > self.LONG:  # its lines are kept, itself hardly comes again
+                return ids
         elif run[-1:] in (".", ",") and run[:-1].isalpha():
             ids = self[run[:-1]] + self.kin[run[-1]]
         else:

@@ -158,6 +158,16 @@ def test_ids_equal_the_tokenizer():
         assert ids.of(s) == struct.pack(f"<{len(want)}I", *want), s
 
 
+def test_ids_of_many_lines():
+    """Runs with any number of single line breaks, of words or without, at both ends."""
+    import sys
+
+    ids = packing.Ids(packing.tokenizer_path())
+    n = 3 * sys.getrecursionlimit()
+    for t in ("\n".join(f"w{i}," for i in range(n)), "\n".join("\u4e2d\u6587" for _ in range(n)), "a b\nc\nd.\n", "\nb\nc", "x\ny", "a\n", "a " + "\n".join("qr" * n) + "\n", "a\tb\nc d\re\nf"):
+        assert ids.of(t) == ids.packed(t)
+
+
 def test_privacy(spark, texts, odd, empty):
     hard = [
         (1000, "a@b.c_d@e.f x.y@z@q.r 1.2.3.4.5 1.2.3.256 001.002.003.004 +12 (3) 456-7890 +1-2 4111 1111 1111 1111 4111-1111-1111-1112"),
