@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspan.llm._common import blank, table
+from larkspan.llm._common import blank, cut, table
 
 SAMPLE, PREFIX, PRIOR, Z, DRIFT, LEVEL, THRESHOLD, FLUSH = 20_000, 4, 4.0, 3.0, 0.5, 0.1, 0.3, 200_000
 TERM = re.compile(r"\w+")
@@ -191,14 +191,31 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> tuple[float, f
     return float(w[0]), float(w[1])
 
 
+def decisive(wide: DataFrame, prior: float = PRIOR, z: float = Z) -> list[tuple[str, int, int]]:
+    """Counts that give the model that those of all terms give. wide: (term, y1, y0). A term that no text with the label holds
+    is left out only if it fails the Z test and has no beginning in the model, from which it would take its score."""
+    total = wide.where("term = ''").first()
+    if not total or not total.y0 or not total.y1:
+        return []
+    share, base = total.y1 / (total.y0 + total.y1), math.log(total.y1 / total.y0)
+    a, b = F.col("y1") + prior * share, F.col("y0") + prior * (1 - share)
+    passes = F.abs(F.log(a / b) - base) / F.sqrt(1 / a + 1 / b) >= z * (1 - 1e-9)  # fit() tests again
+    counts = lambda df: [x for r in df.select("term", "y0", "y1").collect() for x in ((r.term, 1, r.y1), (r.term, 0, r.y0))]
+    out = counts(wide.where((F.col("term") == "") | (F.col("y1") > 0) | passes))
+    heads = [(k[1:],) for k in Scorer.fit(out).logodds if k[0] == " "]
+    if not heads:
+        return out
+    known = F.broadcast(wide.sparkSession.createDataFrame(heads, "head string"))
+    clean = wide.where((F.col("y1") == 0) & ~passes & ~F.col("term").startswith(" ")).withColumn("head", F.substring("term", 1, PREFIX))
+    return out + counts(clean.join(known, "head", "left_semi"))
+
+
 def train(docs: DataFrame, labels: DataFrame, use, **names) -> Scorer:
     """A fitted scorer. What comes to the driver is bounded by the sample: terms that pass the Z test, histograms, evidence."""
     rows = training_rows(docs, labels, use, **names)
     counts = term_counts(rows)
     wide = counts.groupBy("term").agg(F.sum(F.when(F.col("y") > 0, F.col("n")).otherwise(0)).alias("y1"), F.sum(F.when(F.col("y") > 0, 0).otherwise(F.col("n"))).alias("y0"))
-    # a term that no labelled text holds can't score above zero
-    asked = wide.where("term = '' or y1 > 0").select("term", "y0", "y1")
-    model = Scorer.fit([x for r in asked.collect() for x in ((r.term, 1, r.y1), (r.term, 0, r.y0))])
+    model = Scorer.fit(decisive(cut(wide)))
     if not model.logodds:
         return model
     sent = rows.sparkSession.sparkContext.broadcast(model)

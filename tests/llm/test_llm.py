@@ -227,6 +227,17 @@ def test_toxicity(spark, odd, empty):
     assert toxicity.accepted(odd, model).columns == odd.columns
 
 
+def test_toxicity_learns_from_all_terms(spark):
+    """The model is that of all counts; a word seen only without the label doesn't take its beginning's score."""
+    rows = [(i, f"slurry{i} waste", 1) for i in range(60)] + [(100 + i, "slurp soup" if i < 3 else "plain words", 0) for i in range(300)]
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id bigint, toxic int")
+    model = toxicity.train(docs, labels, lambda i: i.isNotNull())
+    counts = toxicity.term_counts(toxicity.training_rows(docs, labels, lambda i: i.isNotNull())).collect()
+    assert model.logodds == toxicity.Scorer.fit([tuple(r) for r in counts]).logodds
+    assert model.logodds[" slur"] > 0 and model.score("slurp") < 0 < model.score("slurs")
+
+
 def test_segments():
     import numpy as np
 
