@@ -27,12 +27,12 @@ def some_nodes(spark: SparkSession) -> DataFrame:
 
 
 def neighbours_1hop(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """GRF-01, GRF-05, GRF-06, JN-01, STR-14, D16: neighbours of twenty entries, both ways."""
+    """GRF-06, JN-01, STR-14, D16: neighbours of twenty entries, both ways."""
     return G.neighbours(G.canonical_edges(edges(spark, sf_dir)), some_nodes(spark))
 
 
 def traverse_2hop(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """GRF-02, GRF-03: what references reach in two steps."""
+    """GRF-03: what references reach in two steps."""
     e = G.canonical_edges(edges(spark, sf_dir)).where("type = 'REFERENCES'")
     return G.walked(e, some_nodes(spark)).withColumn("depth", F.col("depth").cast("long"))
 
@@ -43,7 +43,7 @@ def hub_degree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def supersede_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """GAT-01, JN-04, GRF-07: cited entries and what supersedes them."""
+    """GAT-01, JN-04: cited entries and what supersedes them."""
     cited = spark.range(0, 400, 3).toDF("key")
     return G.successors(G.canonical_edges(edges(spark, sf_dir)), cited)
 

@@ -36,7 +36,7 @@ def sanitise(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def citation_list(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """STR-19, STR-20, SET-06, GRF-04: identifiers cited, in order, each once."""
+    """STR-19, STR-20, SET-06: identifiers cited, in order, each once."""
     return added(spark, sf_dir).select("doc_id", F.posexplode(T.citations(F.col("t"))).alias("nth", "cited")).selectExpr("doc_id", "cast(nth as bigint) nth", "cited")
 
 
