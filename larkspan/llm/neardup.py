@@ -113,10 +113,10 @@ def band_hashes(registers: np.ndarray, bands: int = BANDS, rows: int = ROWS) ->
     return h
 
 
-def packed_bits(registers: np.ndarray) -> np.ndarray:
-    """Four bits of each register, sixteen registers in an integer."""
-    four = (mix(registers) & np.uint64(15)).reshape(len(registers), -1, 16)
-    return (four << (np.arange(16, dtype=np.uint64) * np.uint64(4))).sum(2, dtype=np.uint64)
+def bit_planes(registers: np.ndarray) -> np.ndarray:
+    """Four bits of each register: the first bits of all registers in 64-bit integers, then the second bits and so on."""
+    four = (mix(registers) & np.uint64(15)).astype(np.uint8)
+    return np.concatenate([np.packbits((four >> np.uint8(p)) & np.uint8(1), axis=1).view(np.uint64) for p in range(4)], axis=1)
 
 
 def bitmaps(sets: list[np.ndarray]) -> np.ndarray:
@@ -137,9 +137,8 @@ def alike(a: str, b: str, m: int = M, percent: int = PERCENT) -> str:
     j = percent / 100
     p = j + (1 - j) / 16
     most = m - (m * p - 5 * (m * p * (1 - p)) ** 0.5)
-    x = [f"({a}.bits[{i}] ^ {b}.bits[{i}])" for i in range(m // 16)]
-    fold = lambda v: f"({v} | shiftrightunsigned({v}, 1) | shiftrightunsigned({v}, 2) | shiftrightunsigned({v}, 3))"
-    unequal = " + ".join(f"bit_count({fold(v)} & 1229782938247303441L)" for v in x)
+    w = m // 64
+    unequal = " + ".join("bit_count(" + " | ".join(f"({a}.bits[{p * w + i}] ^ {b}.bits[{p * w + i}])" for p in range(4)) + ")" for i in range(w))
     differ = " + ".join(f"bit_count({a}.map[{i}] ^ {b}.map[{i}])" for i in range(MAP_BITS // 64))
     return f"(100 * least({a}.n, {b}.n) >= {percent} * greatest({a}.n, {b}.n) and {100 + percent} * ({differ}) <= {100 - percent} * ({a}.n + {b}.n) and {unequal} <= {int(most)})"
 
@@ -160,7 +159,7 @@ def signed(docs: DataFrame, m: int = M, bands: int = BANDS, words: int = WORDS)
                     size += len(sets[-1])
                     at += 1
                 registers = signatures(sets, m)
-                h, bits, maps = band_hashes(registers, bands), packed_bits(registers), bitmaps(sets)
+                h, bits, maps = band_hashes(registers, bands), bit_planes(registers), bitmaps(sets)
                 n = [len(s) for s in sets]
                 h1 = np.array([s.sum(dtype=np.uint64) for s in sets], np.uint64)
                 h2 = np.array([mix(s + STEP).sum(dtype=np.uint64) for s in sets], np.uint64)
@@ -219,7 +218,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     known = cut(signed(rows, m, bands, words))
     filled = known.where("k is not null and n > 0")
     classes = cut(filled.groupBy("h1", "h2", "n").agg(F.min("k").alias("rep"), F.first("bands").alias("bands"), F.first("bits").alias("bits"), F.first("map").alias("map")))
-    banded = classes.select(F.col("rep").alias("k"), F.posexplode("bands").alias("i", "band"))
+    banded = classes.select(F.col("rep").alias("k"), F.explode("bands").alias("band"))
     crowded = banded.groupBy("band").agg(F.min("k").alias("lo"), F.max("k").alias("hi")).where("lo < hi").select("band")
     members = cut(banded.join(crowded, "band"))
     involved = members.select("k").distinct()
@@ -237,11 +236,10 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
             near = placed.join(centres, "band").where(f"c <> o.c and {alike('shape', 'o.shape', m, percent)}")
             pairs = near.select(F.least("k", "o.k").alias("a"), F.greatest("k", "o.k").alias("b"), F.least("c", "o.c").alias("ca"), F.greatest("c", "o.c").alias("cb"))
         else:  # all that is left, by components
-            left = placed.join(per_band.select("band"), "band", "left_semi").join(all_bands, "k").select("band", "i", "k", "c", "shape", "bands")
+            left = cut(placed.join(per_band.select("band"), "band", "left_semi").join(all_bands, "k").select("band", "k", "c", "shape", "bands"))
             x, y = left.alias("x"), left.alias("y")
-            # a pair counts in the first band that it shares
-            before = " or ".join(f"x.i > {i} and x.bands[{i}] = y.bands[{i}]" for i in range(bands - 1))
-            near = x.join(y, F.expr(f"x.band = y.band and x.c <> y.c and x.k < y.k and {alike('x.shape', 'y.shape', m, percent)} and not ({before})"))
+            # a pair counts in the least band that it shares
+            near = x.join(y, F.expr(f"x.band = y.band and x.c <> y.c and x.k < y.k and {alike('x.shape', 'y.shape', m, percent)} and x.band = array_min(array_intersect(x.bands, y.bands))"))
             pairs = near.selectExpr("x.k a", "y.k b", "least(x.c, y.c) ca", "greatest(x.c, y.c) cb")
         found = verified(pairs.dropDuplicates(["a", "b"]), sets, percent).select(F.col("ca").alias("a"), F.col("cb").alias("b"))
         own = components(cut(found))  # of components that new links join
