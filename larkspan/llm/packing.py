@@ -6,7 +6,12 @@
    decreasing runs over its counts: all open sequences with the same contents are one group, so a step places many
    pieces at once, and the plan has a few rows for each length.
 3. A piece takes the planned slot with its rank among pieces of its length. Ranks are given within (length, bucket of a
-   hash), and the counts of the buckets say where each bucket's ranks begin, so that no length is ranked in one task.
+   hash), and the counts of the buckets say where each bucket's ranks begin. A length has a bucket for each BUCKET pieces, so
+   that no length, however common, is ranked in one task. A piece of full length has a sequence to itself and needs no rank.
+
+Ids are those of `tokenizers`. The encoder that reads the same vocabulary as ranks is faster and is used where it can be; it
+breaks down on long runs of white space, so that texts with a run of LONG_SPACE characters go to `tokenizers`, and so does
+any text on which it fails.
 
 Defined results: a null text counts as empty; an empty text is the one id that ends every document; repeated rows are
 packed each; a null doc_id is kept; extra columns are ignored; an empty table gives no rows.
@@ -27,7 +32,8 @@ from pyspark.sql import functions as F
 
 from larkspan.llm._common import blank, cut, table
 
-SIZE, BUCKETS = 2048, 64
+SIZE, BUCKET = 2048, 50_000
+LONG_SPACE = re.compile(r"\s{500}")
 END = struct.pack("<I", 0)
 MEETING = re.compile(r"\s\s")
 
@@ -75,10 +81,12 @@ class Ids:
 
     END_OF_TEXT, END_OF_TEXT_ID = "<|endoftext|>", 50256
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, exact: str | None = None):
         import public_tokenizers
         import tiktoken
 
+        self.exact, self.tokenizer = exact or tokenizer_path("byte_bpe_50k.json"), None
+
         with open(path, "rb") as f:
             ranks = {base64.b64decode(x): int(y) for x, y in map(bytes.split, f)}
         self.encode = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
@@ -86,9 +94,24 @@ class Ids:
         self.first.kin = self.after.kin = self.first
 
     def packed(self, text: str) -> bytes:
-        ids = self.encode(text)
+        ids = None if LONG_SPACE.search(text) else self.tried(text)
+        if ids is None:
+            if self.tokenizer is None:
+                from tokenizers import Tokenizer
+
+                self.tokenizer = Tokenizer.from_file(self.exact)
+            ids = self.tokenizer.encode(text, add_special_tokens=False).ids
         return struct.pack(f"<{len(ids)}I", *ids)
 
+    def tried(self, text: str) -> list[int] | None:
+        """The ids, or None where the encoder breaks down: its panics aren't Exceptions."""
+        try:
+            return self.encode(text)
+        except BaseException as e:
+            if isinstance(e, Exception) or type(e).__name__ == "PanicException":
+                return None
+            raise
+
     def of(self, text: str) -> bytes:
         if self.END_OF_TEXT in text:
             return struct.pack("<I", self.END_OF_TEXT_ID).join(self.of(x) for x in text.split(self.END_OF_TEXT))
@@ -98,12 +121,13 @@ class Ids:
         return self.first[first] + b"".join(map(self.after.__getitem__, runs))
 
 
-def pieces(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = SIZE, path: str | None = None, with_ids: bool = True) -> DataFrame:
-    """(doc_id, piece, start, length, ids_crc32[, ids]): the pieces of each document."""
-    path = path or tokenizer_path()
+def pieces(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = SIZE, path: str | None = None, exact: str | None = None, with_ids: bool = True) -> DataFrame:
+    """(doc_id, piece, start, length, ids_crc32[, ids]): the pieces of each document. path, exact: the vocabulary as ranks
+    and as a file of `tokenizers`."""
+    path, exact = path or tokenizer_path(), exact or tokenizer_path("byte_bpe_50k.json")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = Ids(path)
+        tokens = Ids(path, exact)
         for batch in batches:
             out: list[tuple] = []
             kept: list[np.ndarray] = []
@@ -163,22 +187,27 @@ def plan(histogram: dict[int, int], size: int = SIZE) -> list[tuple[int, int, in
     return rows
 
 
-def pack(found: DataFrame, size: int = SIZE, buckets: int = BUCKETS) -> DataFrame:
+def pack(found: DataFrame, size: int = SIZE, bucket: int = BUCKET) -> DataFrame:
     """found (pieces with a length of at most size) with sequence_id and offset."""
     spark = found.sparkSession
-    keyed = cut(found).withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(buckets)).cast("int"))
-    counts = keyed.groupBy("length", "bucket").count()
-    # at most size * buckets rows
+    kept = cut(found)
+    # each in a sequence of its own; negative numbers are no planned sequence's
+    full = kept.where(F.col("length") == size).select(*found.columns, (-1 - F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    short = kept.where(F.col("length") < size)
+    histogram = {r.length: r["count"] for r in short.groupBy("length").count().collect()}  # less than size rows
+    rows = [(n, max(1, -(-c // bucket))) for n, c in histogram.items()]
+    lengths = spark.createDataFrame(rows or [(0, 1)], "length bigint, buckets bigint")
+    keyed = short.join(F.broadcast(lengths), "length").withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.col("buckets"))).drop("buckets")
+    counts = keyed.groupBy("length", "bucket").count()  # less than size rows, and one for each `bucket` pieces
     begin = counts.withColumn("begin", F.sum("count").over(Window.partitionBy("length").orderBy("bucket")) - F.col("count")).select("length", "bucket", "begin")
-    histogram = {r.length: r.n for r in counts.groupBy("length").agg(F.sum("count").alias("n")).collect()}
     slots = spark.createDataFrame(plan(histogram, size) or [(0, 0, 0, 0, 1, 0)], "length bigint, lo bigint, n bigint, seq bigint, per bigint, at bigint")
     slots = slots.groupBy("length").agg(F.sort_array(F.collect_list(F.struct("lo", "n", "seq", "per", "at"))).alias("slots"))
     order = Window.partitionBy("length", "bucket").orderBy("doc_id", "piece", "start")
-    ranked = keyed.withColumn("local", F.row_number().over(order) - 1).join(F.broadcast(begin), ["length", "bucket"]).withColumn("rank", F.col("begin") + F.col("local"))
+    ranked = keyed.withColumn("local", F.row_number().over(order) - 1).join(begin, ["length", "bucket"]).withColumn("rank", F.col("begin") + F.col("local"))
     placed = ranked.join(F.broadcast(slots), "length").withColumn("slot", F.expr("filter(slots, s -> s.lo <= rank and rank < s.lo + s.n)[0]"))
     nth = F.col("rank") - F.col("slot.lo")
     placed = placed.withColumn("sequence_id", F.col("slot.seq") + F.floor(nth / F.col("slot.per"))).withColumn("offset", F.col("slot.at") + (nth % F.col("slot.per")) * F.col("length"))
-    return placed.select(*found.columns, F.col("sequence_id").cast("long"), F.col("offset").cast("long"))
+    return placed.select(*found.columns, F.col("sequence_id").cast("long"), F.col("offset").cast("long")).unionByName(full)
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
