@@ -8,13 +8,14 @@ shape, boundaries) vote +1, 0 or -1 on every span. Expectation-maximisation over
 which the final span classifier, naive Bayes over FEATURES, is trained; a candidate above KEEP becomes a span.
 
 Positions: the matches of a pattern and the text between them (split by the same pattern) give every start by a running
-sum. Patterns equal to the stated ones are written so that they can't backtrack: a run of digits or name characters is
+sum. Running sums and maxima go through arrays in chunks, and texts are read in pieces of PIECE code points, so that the
+time of a text is linear in its length and its number of matches. Patterns equal to the stated ones are written so that they can't backtrack: a run of digits or name characters is
 entered only at its begin or where the last match ended, and quantifiers are possessive where that changes nothing.
 
 Only two rows of sums come to the driver, whose values enter the plan as literals.
 
 Defined results: null and empty texts have no spans; overlapping candidates give way to base spans, then to earlier and
-longer ones; repeated rows each give a row; extra columns are ignored; without any span the model keeps nothing more.
+longer ones; spans that overlap are masked as one, by the kind of the first; repeated rows each give a row; extra columns are ignored; without any span the model keeps nothing more.
 """
 
 from __future__ import annotations
@@ -39,26 +40,44 @@ MORE = {
 CLUES = r"(?i)(mail|e-mail|phone|tel|fon|call|mobile|fax|card|karte|carte|tarjeta|visa|ip|host|address|password|passwort|passwd|pwd|token|secret|key|api|login|user)\W{0,4}$"
 AGAINST = r"(?i)(version|page|chapter|volume|section|article|figure|table|isbn|issn|doi|license|licence|sha|commit|build|rev)\W{0,4}$"
 KEEP, ROUNDS, LABELERS = 0.5, 25, 6
+CHUNK, PIECE, FAR = 256, 1024, 2**31 - 1
 SPAN = "array<struct<s:int,e:int,m:string>>"
 #: features of the final classifier, over a span x
 FEATURES = ("x.kind = 'email'", "x.kind = 'ip'", "x.kind = 'card'", "x.kind = 'phone'", "x.kind = 'secret'", "x.votes[1] = 1", "x.votes[2] = -1", "x.votes[3] = 1", "x.votes[4] = 1", "x.votes[4] = -1", "x.votes[5] = 1", "x.e - x.s >= 16", "x.e - x.s >= 32")
 
 
+def bound(value: Column, body) -> Column:
+    """body(value), with value worked out once."""
+    return F.transform(F.array(value), body)[0]
+
+
+def running(values: Column, start: int, op) -> Column:
+    """For each element (int) what op makes of start and all elements before it. op is associative, start neutral. Lists
+    grow by appending only within a chunk, and within the list of chunks."""
+
+    def scan(x: Column, begin: Column) -> Column:
+        none = F.struct(begin.alias("now"), F.array().cast("array<int>").alias("out"))
+        return F.aggregate(x, none, lambda a, v: F.struct(op(a["now"], v).alias("now"), F.array_append(a["out"], a["now"]).alias("out")), lambda a: a["out"])
+
+    def chunked(v: Column) -> Column:
+        last = F.greatest(F.floor((F.size(v) - 1) / CHUNK), F.lit(0)).cast("int")
+        return F.transform(F.sequence(F.lit(0), last), lambda j: F.slice(v, j * CHUNK + 1, CHUNK))
+
+    begin = F.lit(start).cast("int")
+    totals = lambda chunks: F.transform(chunks, lambda c: F.aggregate(c, begin, lambda a, v: op(a, v)))
+    return bound(values, lambda v: bound(chunked(v), lambda chunks: F.flatten(F.zip_with(chunks, scan(totals(chunks), begin), scan))))
+
+
 def located(t: Column, pattern: str, gate: Column) -> Column:
     """Starts, ends (exclusive, in code points) and texts of the leftmost matches, where gate holds."""
-    none = F.array().cast("array<string>")
-    found = F.when(gate, F.regexp_extract_all(t, F.lit(pattern), F.lit(0))).otherwise(none)
-    gaps = F.when(gate, F.split(t, pattern, -1)).otherwise(none)
-    begin = F.struct(F.lit(0).alias("pos"), F.array().cast(SPAN).alias("out"))
+    pairs = F.arrays_zip(F.split(t, pattern, -1).alias("gap"), F.regexp_extract_all(t, F.lit(pattern), F.lit(0)).alias("m"))
 
-    def step(a: Column, z: Column) -> Column:
-        s = a["pos"] + F.length(z["gap"])
-        e = s + F.length(z["m"])
-        more = F.array_append(a["out"], F.struct(s.alias("s"), e.alias("e"), z["m"].alias("m")))
-        return F.struct(F.coalesce(e, s).alias("pos"), F.when(z["m"].isNull(), a["out"]).otherwise(more).alias("out"))
+    def spans(z: Column) -> Column:
+        begin = running(F.transform(z, lambda x: F.length(x["gap"]) + F.coalesce(F.length(x["m"]), F.lit(0))), 0, lambda a, x: a + x)
+        found = F.zip_with(z, begin, lambda x, at: F.struct((at + F.length(x["gap"])).alias("s"), (at + F.length(x["gap"]) + F.length(x["m"])).alias("e"), x["m"].alias("m")))
+        return F.filter(found, lambda x: x["m"].isNotNull())
 
-    pairs = F.arrays_zip(gaps.alias("gap"), found.alias("m"))
-    return F.aggregate(pairs, begin, step, lambda a: a["out"])
+    return F.when(gate, bound(pairs, spans)).otherwise(F.array().cast(SPAN))
 
 
 def digits(m: Column) -> Column:
@@ -113,17 +132,49 @@ def candidates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", keep
     tag = lambda c, k, base: F.transform(F.col(c), lambda x: F.struct(F.lit(k).alias("kind"), x["s"].alias("s"), x["e"].alias("e"), x["m"].alias("m"), F.lit(base).alias("base")))
     rows = rows.withColumn("b", F.flatten(F.array(*[tag(f"b_{k}", k, True) for k in KINDS]))).withColumn("c", F.flatten(F.array(*[tag(f"m_{k}", k, False) for k in ("email", "phone", "secret", "card")])))
     # candidates give way to base spans and to other candidates that begin earlier or are longer
-    free = F.expr("filter(c, x -> not exists(b, y -> x.s < y.e and y.s < x.e) and not exists(c, y -> x.s < y.e and y.s < x.e and (y.s < x.s or y.s = x.s and (y.e > x.e or y.e = x.e and y.kind < x.kind))))")
+    marked = F.array_sort(F.transform(F.concat("b", "c"), lambda x: F.struct(x["s"].alias("s"), (-x["e"]).alias("back"), x["kind"].alias("kind"), x["base"].alias("base"), x["m"].alias("m"), x["e"].alias("e"))))
+
+    def free(x: Column) -> Column:
+        base_end = running(F.transform(x, lambda y: F.when(y["base"], y["e"]).otherwise(0)), 0, F.greatest)
+        other_end = running(F.transform(x, lambda y: F.when(y["base"], F.lit(0)).otherwise(y["e"])), 0, F.greatest)
+        next_base = F.reverse(running(F.reverse(F.transform(x, lambda y: F.when(y["base"], y["s"]).otherwise(F.lit(FAR)))), FAR, F.least))
+        beside = F.arrays_zip(x.alias("x"), base_end.alias("base_end"), other_end.alias("other_end"), next_base.alias("next_base"))
+        kept = F.filter(beside, lambda y: y["x"]["base"] | ((y["base_end"] <= y["x"]["s"]) & (y["other_end"] <= y["x"]["s"]) & (y["next_base"] >= y["x"]["e"])))
+        return F.transform(kept, lambda y: y["x"])
+
     rank = "case x.kind when 'email' then 0 when 'ip' then 1 when 'card' then 2 when 'phone' then 3 else 4 end"
-    rows = rows.withColumn("all", F.concat("b", free))
-    rows = rows.withColumn("spans", F.expr(f"transform(array_sort(transform(all, x -> struct(x.s as s, {rank} as r, x.e as e, x.kind as kind, x.m as m, x.base as base))), x -> struct(x.kind, x.s, x.e, x.base, {votes('x')} as votes))"))
+    rows = rows.withColumn("all", bound(marked, free))
+    ordered = f"array_sort(transform(all, x -> struct(x.s as s, {rank} as r, x.e as e, x.kind as kind, x.m as m, x.base as base)))"
+    rows = rows.withColumn("spans", F.expr(f"transform(array({in_pieces('case when size(all) = 0 then \'\' else t end')}), parts -> transform({ordered}, x -> struct(x.kind, x.s, x.e, x.base, {votes('x')} as votes)))[0]"))
     return rows.select("doc_id", "spans", *(["t", "row"] if keep_text else []))
 
 
+def in_pieces(t: str) -> str:
+    """SQL: the text t as an array of pieces of PIECE code points."""
+    return f"regexp_extract_all({t}, r'(?s).{{1,{PIECE}}}', 0)"
+
+
+def part(i: str) -> str:
+    return f"coalesce(get(parts, cast({i} as int)), '')"
+
+
+def some_of(start: str, n: str) -> str:
+    """SQL: at most n (less than PIECE) code points from start on, of the text whose pieces are parts."""
+    return f"substring(concat({part(f'({start}) div {PIECE}')}, {part(f'({start}) div {PIECE} + 1')}), ({start}) % {PIECE} + 1, {n})"
+
+
+def between(a: str, b: str) -> str:
+    """SQL: the text from a to b (exclusive), of which parts are the pieces; reads no piece outside."""
+    i, j = f"cast({a} div {PIECE} as int)", f"cast(({b} - 1) div {PIECE} as int)"
+    many = f"concat(substring({part(i)}, {a} % {PIECE} + 1), array_join(slice(parts, {i} + 2, {j} - {i} - 1), ''), substring({part(j)}, 1, ({b} - 1) % {PIECE} + 1))"
+    return f"(case when {b} <= {a} then '' when {i} = {j} then substring({part(i)}, {a} % {PIECE} + 1, {b} - {a}) else {many} end)"
+
+
 def votes(x: str) -> str:
     """The six votes on a span, as SQL."""
-    before = f"substring(t, greatest({x}.s - 24, 0) + 1, {x}.s - greatest({x}.s - 24, 0))"
-    sides = f"concat(case when {x}.s = 0 then ' ' else substring(t, {x}.s, 1) end, case when {x}.e = length(t) then ' ' else substring(t, {x}.e + 1, 1) end)"
+    before = some_of(f"greatest({x}.s - 24, 0)", f"least({x}.s, 24)")
+    after = some_of(f"{x}.e", "1")
+    sides = f"concat(case when {x}.s = 0 then ' ' else {some_of(f'greatest({x}.s - 1, 0)', '1')} end, case when {after} = '' then ' ' else {after} end)"
     plain = f"regexp_replace({x}.m, '[^0-9A-Za-z]', '')"
     return (
         "array("
@@ -200,8 +251,11 @@ def redact(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
     """docs with each span of text replaced by its kind in brackets. A null text stays null."""
     _, weights = fit(cut(candidates(docs, doc_id, text)))
     found = candidates(docs, doc_id, text, keep_text=True).withColumn("spans", kept(weights))
-    pos = "aggregate(spans, struct(0 as pos, '' as out), (a, x) -> case when x.s < a.pos then a else struct(x.e as pos, concat(a.out, substring(t, a.pos + 1, x.s - a.pos), '[', upper(x.kind), ']') as out) end, a -> concat(a.out, substring(t, a.pos + 1)))"
-    new = F.when(F.col(f"row.`{text}`").isNull(), F.lit(None).cast("string")).otherwise(F.when(F.size("spans") == 0, F.col("t")).otherwise(F.expr(pos)))
+    found = found.withColumn("ends", running(F.transform("spans", lambda x: x["e"]), 0, F.greatest)).withColumn("last", F.array_max(F.transform("spans", lambda x: x["e"])))
+    masks = f"array_join(zip_with(spans, ends, (x, p) -> case when x.s >= p then concat({between('p', 'x.s')}, '[', upper(x.kind), ']') else '' end), '')"
+    rest = f"concat(substring({part(f'last div {PIECE}')}, last % {PIECE} + 1), array_join(slice(parts, cast(last div {PIECE} as int) + 2, size(parts)), ''))"
+    masked = F.expr(f"transform(array({in_pieces('t')}), parts -> concat({masks}, {rest}))[0]")
+    new = F.when(F.col(f"row.`{text}`").isNull(), F.lit(None).cast("string")).otherwise(F.when(F.size("spans") == 0, F.col("t")).otherwise(masked))
     return found.select(*[new.alias(c) if c == text else F.col(f"row.`{c}`").alias(c) for c in docs.columns])
 
 
