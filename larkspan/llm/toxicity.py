@@ -5,11 +5,15 @@ Model, fitted on at most SAMPLE labelled rows (those with the smallest hash of d
   are counted. The log-odds of a word have a Dirichlet prior whose mean is the share of its beginning, and the beginning's
   prior mean is the share of all; words that were not seen take their beginning's. Log-odds count only if they are
   Z standard errors from zero, so that chance words don't.
-- Every token's score is its log-odds less DRIFT, so that a text without toxic words drifts down.
+- Every token's score is its log-odds less a drift, so that a text without toxic words drifts down. The drift is the
+  log-odds of a token that has no positive log-odds itself: ln((1 - p0) / (1 - p1)), where p1 and p0 are the shares of
+  tokens with positive log-odds in texts with and without the label, and DRIFT at least. Words of weak evidence so add up
+  where they are denser than in other texts.
 
 All maximal segments of positive score are found in one linear scan. For their significance, the extreme-value law of
 maximal segments holds: with lambda the positive root of E[exp(lambda * score)] = 1 over tokens of unlabelled kind, a segment of
-score S in n tokens has the expectation E = n * exp(-lambda * S). Segments with E below LEVEL are the passages. A document's
+score S in n tokens has the expectation E = K * n * exp(-lambda * S); K is taken as 1, since a constant factor of all
+expectations only moves the curve that is fitted below. Segments with E below LEVEL are the passages. A document's
 evidence is the sum of its passages' -ln E, and a logistic curve, fitted on the same sample, makes it a probability.
 
 Defined results: null and empty texts score as texts without passages; labels that are null are not used, and of several
@@ -31,7 +35,7 @@ from pyspark.sql import functions as F
 
 from larkspan.llm._common import blank, cut, table
 
-SAMPLE, PREFIX, PRIOR, Z, DRIFT, LEVEL, THRESHOLD, FLUSH = 20_000, 4, 4.0, 3.0, 0.5, 0.1, 0.3, 200_000
+SAMPLE, PREFIX, PRIOR, Z, DRIFT, LEVEL, THRESHOLD, FLUSH = 20_000, 4, 4.0, 3.0, 0.01, 0.1, 0.3, 200_000
 TERM = re.compile(r"\w+")
 PASSAGES = "array<struct<start:int,end:int,score:double,expect:double>>"
 
@@ -71,18 +75,19 @@ class Scorer:
     """Token scores, segments and documents' probabilities. Plain values only, so that it travels to executors."""
 
     def __init__(self, logodds: dict[str, float], prefix: int = PREFIX, drift: float = DRIFT, level: float = LEVEL):
+        """prefix is that of the counts that the log-odds were made of."""
         self.logodds, self.prefix, self.drift, self.level = logodds, prefix, drift, level
         self.rate, self.curve = 1.0, (-60.0, 0.0)
 
     @classmethod
-    def fit(cls, counts: list[tuple[str, int, int]], prior: float = PRIOR, z: float = Z) -> Scorer:
-        """counts: rows of term_counts."""
+    def fit(cls, counts: list[tuple[str, int, int]], prior: float = PRIOR, z: float = Z, prefix: int = PREFIX) -> Scorer:
+        """counts: rows of term_counts with that prefix."""
         by: dict[str, list[int]] = {}
         for term, y, n in counts:
             by.setdefault(term, [0, 0])[1 if y else 0] += n
         n0, n1 = by.pop("", [0, 0])
         if not n0 or not n1:
-            return cls({})
+            return cls({}, prefix)
         share, base = n1 / (n0 + n1), math.log(n1 / n0)
 
         def odds(y0: int, y1: int, mean: float) -> tuple[float, float]:
@@ -100,14 +105,13 @@ class Scorer:
                     means[term] = (y1 + prior * share) / (y0 + y1 + prior)
         for term, (y0, y1) in by.items():
             if term[0] != " ":
-                head = " " + term[:PREFIX]
+                head = " " + term[:prefix]
                 d, sure = odds(y0, y1, means.get(head, share))
                 if sure >= z:
                     out[term] = d
                 elif head in out and y0 > y1:
                     out[term] = 0.0  # seen without the label more often: its beginning says nothing
-        model = cls(out)
-        return model
+        return cls(out, prefix)
 
     def score(self, word: str) -> float:
         d = self.logodds.get(word)
@@ -136,8 +140,9 @@ class Scorer:
             return [], n
         return [(a, b, v, e) for a, b, v in segments(s) if (e := n * math.exp(-self.rate * v)) < self.level], n
 
-    def evidence(self, found: list[tuple[int, int, float, float]]) -> float:
-        return float(sum(min(50.0, -math.log(max(e, 1e-300))) for *_, e in found))
+    def evidence(self, found: list[tuple[int, int, float, float]], n: int) -> float:
+        """The sum of -ln E over the passages of a text of n tokens."""
+        return sum(self.rate * v - math.log(n) for _, _, v, _ in found)
 
     def probability(self, evidence: float) -> float:
         a, b = self.curve
@@ -191,7 +196,7 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> tuple[float, f
     return float(w[0]), float(w[1])
 
 
-def decisive(wide: DataFrame, prior: float = PRIOR, z: float = Z) -> list[tuple[str, int, int]]:
+def decisive(wide: DataFrame, prior: float = PRIOR, z: float = Z, prefix: int = PREFIX) -> list[tuple[str, int, int]]:
     """Counts that give the model that those of all terms give. wide: (term, y1, y0). A term that no text with the label holds
     is left out only if it fails the Z test and has no beginning in the model, from which it would take its score."""
     total = wide.where("term = ''").first()
@@ -202,42 +207,48 @@ def decisive(wide: DataFrame, prior: float = PRIOR, z: float = Z) -> list[tuple[
     passes = F.abs(F.log(a / b) - base) / F.sqrt(1 / a + 1 / b) >= z * (1 - 1e-9)  # fit() tests again
     counts = lambda df: [x for r in df.select("term", "y0", "y1").collect() for x in ((r.term, 1, r.y1), (r.term, 0, r.y0))]
     out = counts(wide.where((F.col("term") == "") | (F.col("y1") > 0) | passes))
-    heads = [(k[1:],) for k in Scorer.fit(out).logodds if k[0] == " "]
+    heads = [(k[1:],) for k in Scorer.fit(out, prior, z, prefix).logodds if k[0] == " "]
     if not heads:
         return out
     known = F.broadcast(wide.sparkSession.createDataFrame(heads, "head string"))
-    clean = wide.where((F.col("y1") == 0) & ~passes & ~F.col("term").startswith(" ")).withColumn("head", F.substring("term", 1, PREFIX))
+    clean = wide.where((F.col("y1") == 0) & ~passes & ~F.col("term").startswith(" ")).withColumn("head", F.substring("term", 1, prefix))
     return out + counts(clean.join(known, "head", "left_semi"))
 
 
-def train(docs: DataFrame, labels: DataFrame, use, **names) -> Scorer:
+def train(docs: DataFrame, labels: DataFrame, use, prefix: int = PREFIX, **names) -> Scorer:
     """A fitted scorer. What comes to the driver is bounded by the sample: terms that pass the Z test, histograms, evidence."""
-    rows = training_rows(docs, labels, use, **names)
-    counts = term_counts(rows)
+    rows = cut(training_rows(docs, labels, use, **names))
+    counts = term_counts(rows, prefix)
     wide = counts.groupBy("term").agg(F.sum(F.when(F.col("y") > 0, F.col("n")).otherwise(0)).alias("y1"), F.sum(F.when(F.col("y") > 0, 0).otherwise(F.col("n"))).alias("y0"))
-    model = Scorer.fit(decisive(cut(wide)))
+    model = Scorer.fit(decisive(cut(wide), prefix=prefix), prefix=prefix)
     if not model.logodds:
         return model
+    model.drift = 0.0  # plain log-odds are tallied
     sent = rows.sparkSession.sparkContext.broadcast(model)
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, found = sent.value.table(), Counter()
         for batch in batches:
-            for t in batch.column(0).to_pylist():
-                found.update([round(known[w], 1) for w in TERM.findall(t.lower())])
-        yield pa.RecordBatch.from_arrays([pa.array(list(found.keys()), pa.float64()), pa.array(list(found.values()), pa.int64())], ["s", "n"])
-
-    null = rows.where("y = 0").select("t").mapInArrow(tally, "s double, n bigint").groupBy("s").agg(F.sum("n").alias("n")).collect()
+            for t, y in zip(*[c.to_pylist() for c in batch.columns]):
+                found.update([(int(y > 0), round(known[w], 1)) for w in TERM.findall(t.lower())])
+        columns = list(zip(*found)) or [()] * 2
+        yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), pa.array(columns[1], pa.float64()), pa.array(list(found.values()), pa.int64())], ["y", "s", "n"])
+
+    seen = rows.mapInArrow(tally, "y int, s double, n bigint").groupBy("y", "s").agg(F.sum("n").alias("n")).collect()
+    tokens = lambda y, least: sum(r.n for r in seen if r.y == y and r.s > least)
+    p1, p0 = ((tokens(y, 0) + 1) / (tokens(y, -math.inf) + 2) for y in (1, 0))
+    model.drift = max(DRIFT, math.log((1 - p0) / (1 - p1)))
+    null = [r for r in seen if r.y == 0]
     if null:
-        s, n = np.array([r.s for r in null]), np.array([float(r.n) for r in null])
+        s, n = np.array([r.s for r in null]) - model.drift, np.array([float(r.n) for r in null])
         # one toxic word more than was seen: no score is held impossible
-        model.rate = root(np.append(s, max(model.logodds.values())), np.append(n, 1.0))
+        model.rate = root(np.append(s, max(model.logodds.values()) - model.drift), np.append(n, 1.0))
     sent = rows.sparkSession.sparkContext.broadcast(model)
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = sent.value.table()
         for batch in batches:
-            e = [sent.value.evidence(sent.value.passages(t, known)[0]) for t in batch.column(0).to_pylist()]
+            e = [sent.value.evidence(*sent.value.passages(t, known)) for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(e, pa.float64()), batch.column(1)], ["e", "y"])
 
     fitted = rows.mapInArrow(weigh, "e double, y int").collect()
@@ -253,9 +264,10 @@ def score(docs: DataFrame, model: Scorer, doc_id: str = "doc_id", text: str = "t
         model = sent.value
         known = model.table()
         for batch in batches:
-            found = [model.passages(t, known)[0] for t in batch.column(1).to_pylist()]
+            scored = [model.passages(t, known) for t in batch.column(1).to_pylist()]
+            found = [x for x, _ in scored]
             lists = pa.array([[{"start": a, "end": b, "score": v, "expect": e} for a, b, v, e in x] for x in found], pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64()), ("expect", pa.float64())])))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([model.probability(model.evidence(x)) for x in found], pa.float64()), lists], ["doc_id", "score", "passages"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([model.probability(model.evidence(*x)) for x in scored], pa.float64()), lists], ["doc_id", "score", "passages"])
 
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), blank(text).alias("t")).mapInArrow(run, f"doc_id bigint, score double, passages {PASSAGES}")
 
@@ -269,7 +281,7 @@ def accepted(docs: DataFrame, model: Scorer, text: str = "text", threshold: floa
         model = sent.value
         known = model.table()
         for batch in batches:
-            stay = [model.probability(model.evidence(model.passages(t, known)[0])) < threshold for t in batch.column(at).to_pylist()]
+            stay = [model.probability(model.evidence(*model.passages(t, known))) < threshold for t in batch.column(at).to_pylist()]
             yield batch.filter(pa.array(stay, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
