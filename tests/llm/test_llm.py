@@ -62,6 +62,33 @@ def test_topk(spark):
     got = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in topk.top_k(v, lambda i: i == 0, 5, block=2).collect())
     assert got == [(0, 1, 4, 256 * 256 + 128 * 128), (0, 2, 4, 256 * 256 + 128 * 128), (0, 3, 6, -256 * 256 + 128 * 768), (0, 4, 5, 0)]
     assert topk.top_k(v.where("false"), lambda i: i == 0).count() == 0
+    extra = v.selectExpr("vec_id", "embedding", "1 g", "'x' score", "2 query_id", "3 ids")
+    assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in topk.top_k(extra, lambda i: i == 0, 5, block=2).collect()) == got
+
+
+def test_topk_of_large_components(spark):
+    """Components beyond any integer type rank by their exact products; scores are held within a long."""
+    v = spark.createDataFrame([(0, [600000.0]), (1, [600000.0]), (2, [0.5]), (3, [-700000.0])], "vec_id bigint, embedding array<float>")
+    want = [(0, 1, 1, (600000 * 256) ** 2), (0, 2, 2, 600000 * 256 * 128), (0, 3, 3, -600000 * 700000 * 256**2)]
+    assert sorted(tuple(r) for r in topk.top_k(v, lambda i: i == 0, block=2).collect()) == want
+    rows = [(0, [1e30, 1.0]), (1, [1e30, 0.0]), (2, [2e30, 0.0]), (3, [-3e30, 5.0]), (4, [-1e30, 5.0]), (5, [0.0, 3.0]), (6, [1e300]), (7, [1e-300, 3.0])]
+    wide = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    got = [tuple(r) for r in topk.top_k(wide, lambda i: i == 0, 10, block=3).orderBy("rank").collect()]
+    assert [x[2] for x in got] == [6, 2, 1, 5, 7, 4, 3] and [x[3] for x in got] == [topk.MOST] * 3 + [256 * 256 * 3] * 2 + [topk.LEAST] * 2
+
+
+def test_topk_carries_the_best_over_blocks(spark):
+    """Groups of several blocks, several query blocks and many ties."""
+    r = random.Random(11)
+    rows = [(i, [float(r.randint(-2, 2)) for _ in range(r.choice([0, 3, 20, 20, 20]))]) for i in range(400)]
+    v = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>")
+    got = sorted((x.query_id, x["rank"], x.vec_id, x.score) for x in topk.top_k(v, lambda i: i % 7 == 0, 4, query_block=9, block=16).collect())
+    dot = lambda a, b: sum(int(x) * int(y) for x, y in zip(a, b)) * 256**2
+    want = []
+    for i, a in rows:
+        if i % 7 == 0:
+            want += [(i, n + 1, j, -s) for n, (s, j) in enumerate(sorted((-dot(a, b), j) for j, b in rows if j != i)[:4])]
+    assert got == sorted(want)
 
 
 def test_substrings(spark, texts, odd, empty):
@@ -168,6 +195,44 @@ def test_ids_of_many_lines():
         assert ids.of(t) == ids.packed(t)
 
 
+def test_ids_of_long_runs():
+    from public_tokenizers import path
+    from tokenizers import Tokenizer
+
+    t, ids = Tokenizer.from_file(path("byte_bpe_50k.json")), packing.Ids(packing.tokenizer_path())
+    for s in ("\n" * 1_000_000, "a" * 1_000_000, "x" + " " * 20_000 + "y", " \t" * 3000, "\u3000" * 600):
+        want = t.encode(s, add_special_tokens=False).ids
+        assert ids.of(s) == struct.pack(f"<{len(want)}I", *want)
+    broken = packing.Ids(packing.tokenizer_path())
+
+    class PanicException(BaseException):
+        pass
+
+    def encode(text):
+        raise PanicException
+
+    broken.encode = encode
+    assert broken.of("one  two") == ids.of("one  two")
+
+
+def test_packing_of_crowded_lengths(spark):
+    """A length with many pieces is ranked in many buckets; full pieces have sequences of their own."""
+    r = random.Random(8)
+    lengths = [2048] * 90 + [700] * 500 + [r.randint(1, 2048) for _ in range(300)]
+    rows = spark.createDataFrame([(i, 0, 0, n, i) for i, n in enumerate(lengths)], "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint")
+    out = packing.pack(rows, bucket=40).collect()
+    assert sorted((x.doc_id, x.length) for x in out) == list(enumerate(lengths))
+    check_sequences(out)
+    room: list[int] = []  # plain best fit, longest first
+    for n in sorted(lengths, reverse=True):
+        fit = min((x for x in room if x >= n), default=None)
+        if fit is None:
+            room.append(2048 - n)
+        else:
+            room[room.index(fit)] = fit - n
+    assert len({x.sequence_id for x in out}) <= len(room)
+
+
 def test_privacy(spark, texts, odd, empty):
     hard = [
         (1000, "a@b.c_d@e.f x.y@z@q.r 1.2.3.4.5 1.2.3.256 001.002.003.004 +12 (3) 456-7890 +1-2 4111 1111 1111 1111 4111-1111-1111-1112"),
@@ -186,6 +251,65 @@ def test_privacy(spark, texts, odd, empty):
     assert privacy.find_private(odd).count() == odd.count() and privacy.find_private(empty).count() == 0
 
 
+def plain_candidates(text):
+    """Kind, start, end and whether it is a base span, of what privacy.candidates should give."""
+    import re
+
+    def valid_card(m):
+        d = [int(c) for c in re.sub("[^0-9]", "", m)]
+        return sum(x if i % 2 == 0 else 2 * x - 9 * (x > 4) for i, x in enumerate(reversed(d))) % 10 == 0
+
+    base = privacy.brute_force(text)
+    more = [(m.start(), m.end(), k) for k, p in privacy.MORE.items() for m in re.finditer(p, text, re.A)]
+    more += [(m.start(), m.end(), "card") for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", text) if 12 <= len(re.sub("[^0-9]", "", m.group())) <= 19 and not valid_card(m.group())]
+    over = lambda a, b, c, d: a < d and c < b
+    free = [(s, e, k) for s, e, k in more if not any(over(s, e, x, y) for _, x, y in base) and not any(over(s, e, x, y) and (x, -y, z) < (s, -e, k) for x, y, z in more)]
+    return sorted([(k, s, e, True) for k, s, e in base] + [(k, s, e, False) for s, e, k in free], key=str)
+
+
+def test_privacy_candidates_and_model(spark, texts):
+    """Candidates, their order and the final classifier by plain loops."""
+    import numpy as np
+
+    r = random.Random(6)
+    bits = ["a@b.co", "me [at] host [dot] org", "(555) 123-4567", "555-123-4567", "Zx81kq92mmPq7", "4111 1111 1111 1112", "4111 1111 1111 1111", "10.0.0.4", "+49 30 1234567", "key:", "page", "xx", "\U0001f600", "sk12ab34cd56ef78"]
+    more = [(2000 + i, " ".join(r.choice(bits) for _ in range(r.choice([3, 8, 300])))) for i in range(40)]
+    rows = dict([*texts.items(), *more])
+    df = spark.createDataFrame(list(rows.items()), "doc_id bigint, text string")
+    found = privacy.candidates(df).collect()
+    for x in found:
+        assert sorted(((y.kind, y.s, y.e, y.base) for y in x.spans), key=str) == plain_candidates(rows[x.doc_id]), x.doc_id
+    spans = [(tuple(v + 1 for v in y.votes), y) for x in found for y in x.spans]
+    v = np.array([x for x, _ in spans])
+    pi, th = 0.5, np.array([[[0.1, 0.3, 0.6], [0.6, 0.3, 0.1]]] * privacy.LABELERS)  # labeler, class no and yes... by vote
+    th = th[:, ::-1] if th[0, 0, 2] < th[0, 1, 2] else th
+    for _ in range(privacy.ROUNDS):
+        like = lambda c: np.prod([th[l, c, v[:, l]] for l in range(privacy.LABELERS)], axis=0)  # noqa: E731, B023
+        yes, no = pi * like(0), (1 - pi) * like(1)
+        q = yes / (yes + no)
+        pi = (q.sum() + 1) / (len(q) + 2)
+        th = np.array([[[(w[v[:, l] == k].sum() + 1) / (w.sum() + 3) for k in range(3)] for w in (q, 1 - q)] for l in range(privacy.LABELERS)])
+    model, _ = privacy.fit(privacy.candidates(df))
+    assert abs(model["pi"] - pi) < 1e-9
+
+
+def test_privacy_masks_the_union_of_spans(spark):
+    df = spark.createDataFrame([(1, "host 10.0.0.4 111 1111 1111 1111 bye"), (2, "\U0001f600" * 3000 + " a@b.co " + "\u00e9" * 3000)], "doc_id bigint, text string")
+    got = {x.doc_id: x.text for x in privacy.redact(df).collect()}
+    assert got == {1: "host [IP] bye", 2: "\U0001f600" * 3000 + " [EMAIL] " + "\u00e9" * 3000}
+
+
+def test_privacy_of_many_matches(spark):
+    """Time is linear in the matches of a text: 50,000 take seconds, once the plan is made."""
+    import time
+
+    n = 25_000
+    df = spark.createDataFrame([(1, " ".join(f"key aZ3x9Qw7Lm2Kp4{i} me@h{i}.org" for i in range(n)))], "doc_id bigint, text string")
+    begin = time.time()
+    got = privacy.find_private(df).first().spans
+    assert sum(x.base for x in got) == n and time.time() - begin < 90
+
+
 def test_suffixtree(spark, texts, odd, empty):
     out = suffixtree.op8_suffixtree(spark, SF).collect()
     want = suffixtree.brute_force(list(texts.items()))
@@ -215,11 +339,12 @@ def test_suffixtree_is_a_distribution(spark, texts):
 
 
 def test_toxicity(spark, odd, empty):
-    sf = "/root/testdata/sf0.01"
+    sf = "/root/testdata/sf0.1"
     out = {r.doc_id: r for r in toxicity.op10_toxicity(spark, sf).collect()}
     labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
     test = [(out[i].predicted, y) for i, y in labels.items() if out[i].held_out]
-    assert sum(p == y for p, y in test) / len(test) > 0.9
+    caught, said = sum(p and y for p, y in test), sum(p for p, _ in test)
+    assert caught >= 0.85 * sum(y for _, y in test) and caught >= 0.95 * said
     assert all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.3) and r.held_out == (zlib.crc32(str(i).encode()) % 4 == 2) for i, r in out.items())
     none = spark.createDataFrame([(1, None), (None, 1)], "doc_id bigint, toxic int")
     model = toxicity.train(odd, none, lambda i: i.isNotNull())
@@ -227,6 +352,35 @@ def test_toxicity(spark, odd, empty):
     assert toxicity.accepted(odd, model).columns == odd.columns
 
 
+def test_toxicity_score_by_plain_loops(spark):
+    """Scores from segments found by trying all, with no cap on a passage's evidence."""
+    rows = [(i, "plain words here " * 5 + ("vile slur vile " * (1 + i % 40) if i % 3 == 0 else "and more of them"), int(i % 3 == 0)) for i in range(200)]
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id bigint, toxic int")
+    model = toxicity.train(docs, labels, lambda i: i.isNotNull())
+
+    def maximal(s, at=0):
+        best = max(((sum(s[a:b]), a - b, -a) for a in range(len(s)) for b in range(a + 1, len(s) + 1)), default=(0, 0, 0))
+        if best[0] <= 1e-12:
+            return []
+        a = -best[2]
+        b = a - best[1]
+        return [*maximal(s[:a]), best[0], *maximal(s[b:])]
+
+    got = {r.doc_id: r.score for r in toxicity.score(docs, model).collect()}
+    evidences = []
+    for i, t, _ in rows:
+        s = [model.score(w) for w in t.split()]
+        if len(s) > 60:
+            continue
+        evidence = sum(model.rate * v - math.log(len(s)) for v in maximal(s) if len(s) * math.exp(-model.rate * v) < model.level)
+        evidences.append(evidence)
+        assert abs(got[i] - 1 / (1 + math.exp(-(model.curve[0] + model.curve[1] * math.log1p(evidence))))) < 1e-9
+    assert model.evidence([(0, 9, 1000.0, 0.0)], 10) > 50 and max(evidences) > 0
+    odd = toxicity.train(docs, labels, lambda i: i.isNotNull(), prefix=2)
+    assert odd.prefix == 2 and " sl" in odd.logodds and odd.score("slit") == odd.logodds[" sl"] - odd.drift
+
+
 def test_toxicity_learns_from_all_terms(spark):
     """The model is that of all counts; a word seen only without the label doesn't take its beginning's score."""
     rows = [(i, f"slurry{i} waste", 1) for i in range(60)] + [(100 + i, "slurp soup" if i < 3 else "plain words", 0) for i in range(300)]
@@ -379,7 +533,7 @@ def test_pipeline(spark, odd):
         if name == "toxicity":
             model = toxicity.train(before, corpus_pipeline.table(spark, SF, "labels"), lambda i: ~toxicity.held_out(i))
             known = model.table()
-            want = {r.doc_id for r in before.collect() if model.probability(model.evidence(model.passages(r.text, known)[0])) < toxicity.THRESHOLD}
+            want = {r.doc_id for r in before.collect() if model.probability(model.evidence(*model.passages(r.text, known))) < toxicity.THRESHOLD}
             assert {r.doc_id for r in docs.collect()} == want
         if name == "near-duplicates":
             kept = neardup.brute_force([(r.doc_id, r.text) for r in before.collect()])
