@@ -5,8 +5,8 @@ Model, fitted on at most SAMPLE labelled rows (those with the smallest hash of d
   are counted. The log-odds of a word have a Dirichlet prior whose mean is the share of its beginning, and the beginning's
   prior mean is the share of all; words that were not seen take their beginning's. Log-odds count only if they are
   Z standard errors from zero, so that chance words don't.
-- Every token's score is its log-odds less a drift, so that a text without toxic words drifts down. The drift is the
-  log-odds of a token that has no positive log-odds itself: ln((1 - p0) / (1 - p1)), where p1 and p0 are the shares of
+- A token's score is its log-odds, less a drift where they aren't positive, so that a text without toxic words drifts down.
+  The drift is the log-odds of a token without positive log-odds of its own: ln((1 - p0) / (1 - p1)), where p1 and p0 are the shares of
   tokens with positive log-odds in texts with and without the label, and DRIFT at least. Words of weak evidence so add up
   where they are denser than in other texts.
 
@@ -117,7 +117,7 @@ class Scorer:
         d = self.logodds.get(word)
         if d is None:
             d = self.logodds.get(" " + word[: self.prefix], 0.0)
-        return d - self.drift
+        return d if d > 0 else d - self.drift
 
     def table(self) -> dict:
         outer = self
@@ -240,9 +240,9 @@ def train(docs: DataFrame, labels: DataFrame, use, prefix: int = PREFIX, **names
     model.drift = max(DRIFT, math.log((1 - p0) / (1 - p1)))
     null = [r for r in seen if r.y == 0]
     if null:
-        s, n = np.array([r.s for r in null]) - model.drift, np.array([float(r.n) for r in null])
+        s, n = np.array([r.s if r.s > 0 else r.s - model.drift for r in null]), np.array([float(r.n) for r in null])
         # one toxic word more than was seen: no score is held impossible
-        model.rate = root(np.append(s, max(model.logodds.values()) - model.drift), np.append(n, 1.0))
+        model.rate = root(np.append(s, max(model.logodds.values())), np.append(n, 1.0))
     sent = rows.sparkSession.sparkContext.broadcast(model)
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
