@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from larkspan.plans import audit, catalogue, retrieval, rules, texts
+from larkspan.plans import audit, catalogue, engineering, retrieval, rules, texts
 from larkspan.plans.common import Query
 
-MODULES = (retrieval, catalogue, texts, audit, rules)
+MODULES = (retrieval, catalogue, texts, audit, rules, engineering)
 
 
 def queries() -> dict[str, Query]:

@@ -135,7 +135,7 @@ def review_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
 def regulatory_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     """GAT-28, JN-05, JN-17, DAT-02, SRC-17: the order in force for each customer, by key, then nation, then segment."""
     c = table(spark, sf_dir, "customer").selectExpr("c_custkey item", "array(concat('C', c_custkey), concat('N', c_nationkey), c_mktsegment) keys")
-    o = table(spark, sf_dir, "orders").where("o_orderkey % 50 = 0").selectExpr("case o_orderkey % 3 when 0 then concat('C', o_custkey) when 1 then concat('N', o_custkey % 10) else 'MACHINERY' end key", "o_orderkey order_id", "case when o_orderkey % 7 = 0 then null else to_date(o_orderdate) end effective")
+    o = table(spark, sf_dir, "orders").selectExpr("case o_orderkey % 3 when 0 then concat('C', o_custkey) when 1 then concat('N', o_custkey % 10) else 'MACHINERY' end key", "o_orderkey order_id", "case when o_orderkey % 7 = 0 then null else to_date(o_orderdate) end effective")
     return A.regulatory_status(c, o.groupBy("key").agg(F.min(F.struct("order_id", "effective")).alias("o")).select("key", "o.order_id", "o.effective"), "1998-06-01")
 
 
@@ -249,7 +249,7 @@ SQL: dict[str, str] = {
     "package_rollup": f"with {REQUIREMENTS} select tender % 50 package, count(*) n, string_agg(distinct evidence, ',' order by evidence) domains, count(distinct requirement % 97) standards from r group by 1",
     "review_queue": f"with {REQUIREMENTS} select tender, requirement, risk, evidence from r where decision <> 'RECOMMEND' order by case risk when 'CRITICAL' then 0 when 'HIGH' then 1 when 'MEDIUM' then 2 else 3 end, case evidence when 'NONE' then 0 when 'WEAK' then 1 when 'MODERATE' then 2 else 3 end, requirement limit 100",
     "review_progress": f'''with {REQUIREMENTS}, i as (select tender, count(*) n from r where decision <> 'RECOMMEND' group by tender), d as (select o_custkey tender, o_orderkey item, case l_returnflag when 'A' then 'ACCEPT' when 'N' then 'EDIT' else 'DISMISS' end decision, l_shipdate "at" from lineitem join orders on l_orderkey = o_orderkey where o_orderstatus <> 'O' and o_custkey % 3 <> 0), l as (select tender, item, arg_max(decision, row("at", decision)) decision from d group by all), p as (select tender, count(*) filter (decision = 'ACCEPT') accepted, count(*) filter (decision = 'EDIT') edited, count(*) filter (decision = 'DISMISS') dismissed from l group by tender), j as (select tender, n, coalesce(accepted, 0) accepted, coalesce(edited, 0) edited, coalesce(dismissed, 0) dismissed from i left join p using (tender)) select *, greatest(n - accepted - edited - dismissed, 0) pending, case when n <= accepted + edited + dismissed then 'REVIEW_COMPLETE' when accepted + edited + dismissed > 0 then 'IN_PROGRESS' else 'REVIEW_REQUIRED' end status from j''',
-    "regulatory_status": "with o as (select case o_orderkey % 3 when 0 then 'C' || o_custkey when 1 then 'N' || (o_custkey % 10) else 'MACHINERY' end as key, o_orderkey order_id, case when o_orderkey % 7 = 0 then null else o_orderdate::date end effective from orders where o_orderkey % 50 = 0), k as (select key, min(order_id) order_id, arg_min_null(effective, order_id) effective from o group by key), c as (select c_custkey item, unnest(['C' || c_custkey, 'N' || c_nationkey, c_mktsegment]) as key, generate_subscripts(['C' || c_custkey, 'N' || c_nationkey, c_mktsegment], 1) - 1 prio from customer), m as (select item, prio, order_id, effective from c join k using (key) qualify row_number() over (partition by item order by prio) = 1) select c_custkey item, order_id, prio, case when order_id is null then 'NOT_COVERED' when effective is null then 'UNKNOWN' when date '1998-06-01' < effective then 'UPCOMING' else 'CURRENT' end status from customer left join m on item = c_custkey",
+    "regulatory_status": "with o as (select case o_orderkey % 3 when 0 then 'C' || o_custkey when 1 then 'N' || (o_custkey % 10) else 'MACHINERY' end as key, o_orderkey order_id, case when o_orderkey % 7 = 0 then null else o_orderdate::date end effective from orders), k as (select key, min(order_id) order_id, arg_min_null(effective, order_id) effective from o group by key), c as (select c_custkey item, unnest(['C' || c_custkey, 'N' || c_nationkey, c_mktsegment]) as key, generate_subscripts(['C' || c_custkey, 'N' || c_nationkey, c_mktsegment], 1) - 1 prio from customer), m as (select item, prio, order_id, effective from c join k using (key) qualify row_number() over (partition by item order by prio) = 1) select c_custkey item, order_id, prio, case when order_id is null then 'NOT_COVERED' when effective is null then 'UNKNOWN' when date '1998-06-01' < effective then 'UPCOMING' else 'CURRENT' end status from customer left join m on item = c_custkey",
     "retrieval_metrics": f"with {CASES} " + METRICS.format("lang"),
     "sector_strata": f"with {CASES} " + METRICS.format("source"),
     "selective_risk": f"with {CASES}, v as (select *, decision in ('RECOMMEND', 'REVIEW') cov, expected = 'ABSTAIN' neg from c) select lang, count(*) cases, count(*) filter (cov) covered, round(100.0::double * count(*) filter (cov) / count(*), 4) coverage, round(coalesce(100.0::double * count(*) filter (cov and not hit) / nullif(count(*) filter (cov), 0), 0), 4) risk, round(coalesce(100.0::double * count(*) filter (neg and cov) / nullif(count(*) filter (neg), 0), 0), 4) false_recommendations, round(coalesce(100.0::double * count(*) filter (neg and not cov) / nullif(count(*) filter (neg), 0), 0), 4) abstention_recall from v group by lang",

@@ -42,7 +42,7 @@ def json_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 def digits_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """JN-03, STR-16: customers and parts that end in the same number, by key instead of a pattern."""
     c = table(spark, sf_dir, "customer").select("c_custkey", F.regexp_extract("c_name", "([0-9]{3})$", 1).cast("long").alias("digits"))
-    p = table(spark, sf_dir, "part").select("p_partkey", (F.col("p_partkey") % 1000).alias("digits")).where("p_size = 7")
+    p = table(spark, sf_dir, "part").select("p_partkey", (F.col("p_partkey") % 1000).alias("digits"))
     return c.join(p, "digits").where("c_custkey <> p_partkey").select("c_custkey", "p_partkey")
 
 
@@ -139,7 +139,7 @@ def fts_weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def component_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
     """RET-08: each item's words in two components; the best discounted score of a document."""
-    b = table(spark, sf_dir, "benchmark").where("item_id < 10").select("item_id", T.tokens(F.col("text")).alias("w"))
+    b = table(spark, sf_dir, "benchmark").select("item_id", T.tokens(F.col("text")).alias("w"))
     parts = b.select("item_id", F.posexplode(F.array(F.slice("w", 1, 5), F.slice("w", 6, 5))).alias("part", "w")).select((F.col("item_id") * 2 + F.col("part")).alias("query"), F.array_join("w", " ").alias("t"))
     s = R.bm25(table(spark, sf_dir, "documents"), parts, "doc_id", "text", "query", "t")
     best = s.groupBy((F.floor(F.col("query") / 2)).alias("query"), "doc").agg(F.max(F.col("score") * 0.9).alias("score"))
@@ -153,7 +153,7 @@ SQL: dict[str, str] = {
     "record_validation": "with p as (select page_id % 9 = 0 as s, page_id % 9 = 1 as m, page_id % 5 = 0 as y from pages) select concat_ws(',', case when s then 'url_scheme' end, case when m then 'url_missing' end, case when y then 'year_range' end) errors, count(*) n from p group by all",
     "result_projection": "select doc_id, sha256(case when length(text) > 220 then substring(text, 1, 220) || '...' else text end) summary, case doc_id % 4 when 0 then 'CURRENT' when 1 then 'HISTORICAL' when 2 then 'WITHDRAWN' else 'UNVERIFIED' end as role, case doc_id % 3 when 0 then 3 when 1 then 2 else 0 end::bigint as rank, 'Language: ' || lang || case doc_id % 4 when 0 then ' | Status: ACTIVE' when 1 then ' | Status: SUPERSEDED' when 2 then ' | Status: WITHDRAWN' else '' end candidate from documents",
     "json_columns": "with e as (select event_type, json_extract_string(props, '$.k')::bigint k from events) select event_type, count(k) n, sum(k)::bigint total, max(k) most from e group by event_type",
-    "digits_join": "select c_custkey, p_partkey from customer join part on regexp_extract(c_name, '([0-9]{3})$', 1)::bigint = p_partkey % 1000 where p_size = 7 and c_custkey <> p_partkey",
+    "digits_join": "select c_custkey, p_partkey from customer join part on regexp_extract(c_name, '([0-9]{3})$', 1)::bigint = p_partkey % 1000 where c_custkey <> p_partkey",
     "keyword_join": "with w(word, o) as (values ('ring', 'R1'), ('widget', 'R2'), ('red', 'R3')), t as (select distinct p_partkey, unnest(string_split(lower(p_name), ' ')) word from part) select p_partkey, string_agg(o, ',' order by o) orders from t join w using (word) group by p_partkey",
     "reconcile": "with b as (select doc_id from documents where doc_id % 3 <> 0), f as (select l.doc_id a, b.doc_id b from labels l full join b on l.doc_id = b.doc_id) select case when b is null then 'missing' when a is null then 'unlabelled' else 'both' end side, count(*) n from f group by 1",
     "outcome_comparison": "with c as (select quality = 1 a, doc_id % 2 = 0 b, doc_id % 3 = 0 c from labels) select a, b, c, count(*) n, count(*) filter (a = b and b = c) agreed from c group by all",
@@ -166,5 +166,5 @@ SQL: dict[str, str] = {
     "verification_states": "with s as (select unnest([" + ", ".join(f"'{s}'" for s in U.STATES) + "]) n, generate_subscripts([" + ", ".join(f"'{s}'" for s in U.STATES) + "], 1) i) select a.n as now, b.n as target from s a join s b on b.i = a.i + 1",
     "scored": "with p as (select p_partkey, (p_partkey % 200 - 100) / 4.0::double x, p_size / 50.0::double h, case when p_partkey % 3 = 0 then p_partkey % 10 / 10.0::double end r from part) select p_partkey, round(least(greatest(abs(x) / (abs(x) + 5), 0), 1), 3) squashed, round(case when x > 20 then 1 when x < -20 then 0 else 1 / (1 + exp(-x)) end, 6) logistic, case when h >= 0.98::double then h else round(0.75::double * h + 0.25::double * coalesce(r, 0.5::double), 4) end blended from p",
     "fts_weighted": "with l as (select p_partkey doc, unnest(regexp_split_to_array(trim(regexp_replace(lower(p_name), '[^a-z0-9]+', ' ', 'g')), ' ')) term, 3.0::double w from part union all select p_partkey, unnest(regexp_split_to_array(trim(regexp_replace(lower(p_brand), '[^a-z0-9]+', ' ', 'g')), ' ')), 1.0::double from part union all select p_partkey, unnest(regexp_split_to_array(trim(regexp_replace(lower(p_type), '[^a-z0-9]+', ' ', 'g')), ' ')), 2.0::double from part), z as (select doc, count(*) len from l group by doc), a as (select avg(len) avg_len from z), tf as (select doc, term, sum(w) tf from l where term in ('ring', 'promo', 'red') group by all), df as (select term, greatest(ln(((select count(*) from part) - count(*) + 0.5::double) / (count(*) + 0.5::double)), 1e-6) idf from tf group by term), s as (select doc, round(sum(idf * tf * 2.2::double / (tf + 1.2::double * (0.25::double + 0.75::double * len / avg_len))), 6) score from tf join df using (term) join z using (doc), a group by doc) select doc, score, round(abs(score) / (abs(score) + 5), 3) squashed from s where round(abs(score) / (abs(score) + 5), 3) >= 0.2::double order by score desc, doc limit 40",
-    "component_bm25": f"with w as (select doc_id doc, {TOKENS.format('text')} w from documents), p as (select doc, len(w) len, unnest(w) term from w), tf as (select doc, len, term, count(*) tf from p group by all), df as (select term, count(*) df from tf group by all), st as (select count(*) docs, avg(len(w)) avg_len from w), b as (select item_id, {TOKENS.format('text')} w from benchmark where item_id < 10), q as (select item_id, 0 part, unnest(w[1:5]) term from b union all select item_id, 1, unnest(w[6:10]) from b), qt as (select item_id, part, term, count(*) qtf from q group by all), sc as (select item_id, part, doc, sum(qtf * ln(1 + (docs - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (1 - 0.75 + 0.75 * len / avg_len))) s from qt join tf using (term) join df using (term), st group by all), m as (select item_id query, doc, round(max(s * 0.9::double), 6) score from sc group by all) select query, row_number() over (partition by query order by score desc, doc)::bigint as rank, doc, score from m qualify rank <= 3",
+    "component_bm25": f"with w as (select doc_id doc, {TOKENS.format('text')} w from documents), p as (select doc, len(w) len, unnest(w) term from w), tf as (select doc, len, term, count(*) tf from p group by all), df as (select term, count(*) df from tf group by all), st as (select count(*) docs, avg(len(w)) avg_len from w), b as (select item_id, {TOKENS.format('text')} w from benchmark), q as (select item_id, 0 part, unnest(w[1:5]) term from b union all select item_id, 1, unnest(w[6:10]) from b), qt as (select item_id, part, term, count(*) qtf from q group by all), sc as (select item_id, part, doc, sum(qtf * ln(1 + (docs - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (1 - 0.75 + 0.75 * len / avg_len))) s from qt join tf using (term) join df using (term), st group by all), m as (select item_id query, doc, round(max(s * 0.9::double), 6) score from sc group by all) select query, row_number() over (partition by query order by score desc, doc)::bigint as rank, doc, score from m qualify rank <= 3",
 }
