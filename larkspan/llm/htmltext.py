@@ -9,9 +9,14 @@ The labelled pages are PAGES pages that `labelled_page` lays out in many ways (s
 classed divs among menus, headers, sidebars, notices, adverts, forms, comments and footers, every block with its label.
 Pages may be given instead.
 
-Defined results: null and empty html have the text ''; an unclosed script, style or comment runs to the end; scripts,
-styles, templates, comments, titles and form fields never give blocks; character references are decoded, white space
-(Unicode) inside a block becomes one space; repeated rows each give a row; extra columns are ignored.
+Pages are read once, by a scanner that never goes back: a tag ends at the first '>' outside closed quotes (from the first tag
+on that would not end so, at the first '>'). The cost of a block doesn't grow with its depth, since of its ancestors only
+features that the model knows are held, each once.
+
+Defined results: null and empty html have the text ''; an unclosed script, style or comment runs to the end; a '<' that
+opens no tag is text; scripts, styles, templates, comments, titles and form fields never give blocks; the text of math, svg
+and object elements belongs to the block around them; character references are decoded (those of no character become
+U+FFFD), white space (Unicode) inside a block becomes one space; repeated rows each give a row; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -19,6 +24,7 @@ from __future__ import annotations
 import html as entities
 import random
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,87 +35,194 @@ from pyspark.sql import functions as F
 from larkspan.llm._common import table
 
 PAGES, STEPS, SEED = 400, 200, 5
-RAW = "script|style|noscript|template|textarea|iframe|svg|title|select|object|math"
-PARTS = re.compile(rf"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<({RAW})(?=[\s/>])(?:\"[^\"]*\"|'[^']*'|[^\"'>])*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^\"'>])*)>|<[!?][^>]*>", re.S | re.I)
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark meter nobr output q rp rt ruby s samp small span strike strong sub sup time tt u var wbr link meta base".split())
+#: elements whose content is no text of the page, up to their end tag
+RAW = frozenset("script style noscript template textarea iframe title select annotation annotation-xml".split())
+RAW_END = {t: re.compile(rf"</{t}(?=[\s/>])", re.I) for t in RAW}
+NAME = re.compile(r"/?([a-zA-Z][^\s/>]*)")
+FOREIGN = frozenset({"math", "svg"})  # all tags inside them are inline
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark meter nobr output q rp rt ruby s samp small span strike strong sub sup time tt u var wbr link meta base object math svg".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-NAMED = re.compile(r"(?:class|id|role|aria-label|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
+NAMED = re.compile(r"(?<![\w-])(?:class|id|role|aria-label|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 HIDDEN = re.compile(r"\bhidden\b|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
 SMALL = re.compile(r"[a-z]+")
+ZEROS, LARGE = re.compile(r"&#0+(?=[0-9])"), re.compile(r"&#[0-9]{8,};?")  # longer than any character's number
 NOTICE = re.compile(r"(?i)\b(cookies?|subscribe|newsletter|sign up|log in|advertisement|sponsored|all rights reserved|privacy policy|terms of use|share this|repl(?:y|ies)|comments?)\b")
 #: an open p or list item ends where one of these begins
 CLOSES = {"p": {"p"}, "li": {"li", "p"}, "td": {"td", "th", "p"}, "th": {"td", "th", "p"}, "tr": {"tr", "td", "th", "p"}, "dd": {"dd", "dt", "p"}, "dt": {"dd", "dt", "p"}, "option": {"option"}}
 ENDS_P = frozenset("address article aside blockquote div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol pre section table ul".split())
 
 
-def leaf_blocks(page: str | None) -> list[tuple[str, list[str]]]:
-    """(text, features) of the leaf blocks in page order."""
-    page = page or ""
+def decoded(text: str) -> str:
+    if "&" not in text:
+        return text
+    return entities.unescape(LARGE.sub("\ufffd", ZEROS.sub("&#", text)))
+
+
+class Scanner:
+    """Pieces of markup in order: ("text", text), ("open" or "shut", tag, attributes). Linear in the length of the page."""
+
+    def __init__(self, page: str):
+        self.page = page
+        self.none: set[str] = set()  # strings that don't come again
+        self.quotes = True
+
+    def after(self, what: str, at: int) -> int:
+        """The end of the next occurrence of what, or -1."""
+        if what in self.none:
+            return -1
+        i = self.page.find(what, at)
+        if i < 0:
+            self.none.add(what)
+            return -1
+        return i + len(what)
+
+    def tag_end(self, at: int) -> int:
+        """The end of the tag whose attributes begin at `at`, or -1."""
+        if not self.quotes:
+            return self.after(">", at)
+        page, i = self.page, at
+        while True:
+            end = self.after(">", i)
+            if end < 0:
+                break
+            places = [(x, q) for q in "\"'" if (x := page.find(q, i, end)) >= 0]
+            if not places:
+                return end
+            x, q = min(places)
+            i = self.after(q, x + 1)
+            if i < 0:  # never closed: no more than a character
+                return end
+        self.quotes = False
+        return self.after(">", at)
+
+    def __iter__(self) -> Iterator[tuple]:
+        page, at, n = self.page, 0, len(self.page)
+        while at < n:
+            i = page.find("<", at)
+            if i < 0:
+                yield "text", page[at:], ""
+                return
+            if i > at:
+                yield "text", page[at:i], ""
+            at = i
+            if page.startswith("<!--", i) or page.startswith("<![CDATA[", i):
+                at = self.after("-->" if page[i + 2] == "-" else "]]>", i + 4)
+                at = n if at < 0 else at
+                continue
+            if page[i + 1 : i + 2] in ("!", "?"):
+                at = self.after(">", i)
+                if at > 0:
+                    continue
+                at = i
+            m = NAME.match(page, i + 1)
+            end = self.tag_end(m.end()) if m else -1
+            if end < 0:
+                yield "text", "<", ""
+                at = i + 1
+                continue
+            at = end
+            tag = m.group(1).lower()
+            shut = page[i + 1] == "/"
+            if tag in RAW and not shut:
+                close = RAW_END[tag].search(page, at)
+                at = self.after(">", close.end()) if close else n
+                at = n if at < 0 else at
+                yield "raw", tag, ""
+                continue
+            yield "shut" if shut else "open", tag, page[m.end() : end - 1]
+
+
+class Ancestors:
+    """Open elements, and how many of them have each feature. With known, only those features are held."""
+
+    def __init__(self, known=None):
+        self.known = known
+        self.stack: list[tuple[str, list[str]]] = []
+        self.tags: Counter = Counter()
+        self.held: Counter = Counter()
+
+    def push(self, tag: str, words: list[str]) -> None:
+        own = ["t:" + tag, *["c:" + w for w in words]]
+        if self.known is not None:
+            own = [f for f in own if f in self.known]
+        self.stack.append((tag, own))
+        self.tags[tag] += 1
+        self.held.update(own)
+
+    def pop(self) -> None:
+        tag, own = self.stack.pop()
+        self.tags[tag] -= 1
+        for f in own:
+            self.held[f] -= 1
+            if not self.held[f]:
+                del self.held[f]
+
+    def close(self, tag: str) -> None:
+        while self.tags[tag]:
+            last = self.stack[-1][0]
+            self.pop()
+            if last == tag:
+                return
+
+
+def leaf_blocks(page: str | None, known=None) -> list[tuple[str, list[str]]]:
+    """(text, features) of the leaf blocks in page order. known: the features that a model knows; others are left out."""
     out: list[tuple[str, list[str]]] = []
-    stack: list[tuple[str, tuple[str, ...]]] = []
+    open_ = Ancestors(known)
     parts: list[str] = []
-    link = False
-    linked = 0
-    at = 0
+    link, linked, inside = False, 0, ""
 
     def close() -> None:
         nonlocal linked
         if parts:
-            text = " ".join(entities.unescape("".join(parts)).split())
+            text = " ".join(decoded("".join(parts)).split())
             parts.clear()
             if text:
-                out.append((text, features(text, stack, linked)))
+                out.append((text, features(text, open_, linked)))
         linked = 0
 
-    for m in PARTS.finditer(page):
-        if m.start() > at:
-            piece = page[at : m.start()]
-            parts.append(piece)
+    for what, tag, attributes in Scanner(page or ""):
+        if what == "text":
+            parts.append(tag)
             if link:
-                linked += len(piece.strip())
-        at = m.end()
-        tag = m.group(3)
-        if tag is None:
-            if m.group(1):
+                linked += len(tag.strip())
+            continue
+        if what == "raw":
+            if not inside:
                 close()
             continue
-        tag = tag.lower()
+        if inside:
+            if what == "shut" and tag == inside:
+                inside = ""
+            continue
         if tag in INLINE:
             if tag == "a":
-                link = not m.group(2)
+                link = what == "open"
+            elif tag in FOREIGN and what == "open" and not attributes.rstrip().endswith("/"):
+                inside = tag
             continue
         close()
-        if m.group(2):
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == tag:
-                    del stack[i:]
-                    break
+        if what == "shut":
+            open_.close(tag)
             continue
         if tag in VOID:
             continue
-        shut = CLOSES.get(tag) or ({"p"} if tag in ENDS_P else None)
-        while shut and stack and stack[-1][0] in shut:
-            stack.pop()
-        attributes = m.group(4)
-        words: tuple[str, ...] = ()
+        ends = CLOSES.get(tag) or ({"p"} if tag in ENDS_P else None)
+        while ends and open_.stack and open_.stack[-1][0] in ends:
+            open_.pop()
+        words: list[str] = []
         if attributes:
-            words = tuple(dict.fromkeys(w for x in NAMED.findall(attributes) for w in SMALL.findall("".join(x).lower())))
+            words = list(dict.fromkeys(w for x in NAMED.findall(attributes) for w in SMALL.findall("".join(x).lower())))
             if HIDDEN.search(attributes):
-                words += ("*hidden",)
-        stack.append((tag, words))
-        if len(stack) > 256:  # broken nesting: the oldest ancestors say least
-            del stack[64]
-    if at < len(page):
-        parts.append(page[at:])
+                words.append("*hidden")
+        open_.push(tag, words)
     close()
     return out
 
 
-def features(text: str, stack: list[tuple[str, tuple[str, ...]]], linked: int) -> list[str]:
-    out = {"t:" + tag for tag, _ in stack}
-    for _, words in stack:
-        out.update(["c:" + w for w in words])
-    out.add("p:" + (stack[-1][0] if stack else ""))
+def features(text: str, open_: Ancestors, linked: int) -> list[str]:
+    out = set(open_.held)
+    out.add("p:" + (open_.stack[-1][0] if open_.stack else ""))
     n = text.count(" ") + 1
     out.add("n:" + ("1" if n < 2 else "4" if n < 5 else "12" if n < 13 else "40" if n < 41 else "more"))
     share = linked / len(text)
@@ -196,8 +309,7 @@ class Chain:
 
 def labelled_page(r: random.Random) -> list[tuple[str, int]]:
     """A page as pieces of markup, each with 1 if its text is main text."""
-    syllables = ["th", "er", "on", "an", "re", "en", "in", "que", "la", "sch", "ung", "de", "ción", "os", "eau", "le"]
-    word = lambda: "".join(r.choice(syllables) for _ in range(r.randint(1, 4)))
+    word = lambda: "".join(r.choice("bdfgklmnprstvz") + r.choice("aeiou") for _ in range(r.randint(1, 4)))
     say = lambda a, b: " ".join(word() for _ in range(r.randint(a, b))).capitalize() + r.choice([".", ".", ".", ",", "", "?"])
     out: list[tuple[str, int]] = []
     add = lambda s, y=0: out.append((s, y))
@@ -243,10 +355,18 @@ def labelled_page(r: random.Random) -> list[tuple[str, int]]:
         shell = r.choice(["article", "article", "article", "main", "div", "div", "section"])
         name = r.choice(["content", "post", "entry", "article", "story", "main", "text", "body", "post-content", "article-body", "entry-content"])
         add(f"<{shell}>" if shell in ("article", "main") and r.random() < 0.7 else f'<{shell} {r.choice(["class", "id"])}="{name}">')
+        if r.random() < 0.2:  # a short note and no more
+            if r.random() < 0.4:
+                add(f"<h1>{say(1, 8)}</h1>", 1)
+            add(f"<p>{say(1, 12)}</p>" if r.random() < 0.8 else f"<div>{say(1, 12)}</div>", 1)
+            add(f"</{shell}>")
+            return
         if r.random() < 0.8:
             add(f"<h1>{say(1, 12)}</h1>", 1)
         if r.random() < 0.4:
-            add(f"<p><b>{say(1, 20)}<br>", 1)
+            add(f"<p>{say(1, 10)}<br>{say(1, 20)}</p>", 1)
+        if r.random() < 0.1:
+            add("<div hidden>" if r.random() < 0.5 else '<div style="display:none">'), add(f"<p>{say(2, 20)}</p>"), add("</div>")
         for _ in range(r.randint(1, 14)):
             x = r.random()
             if x < 0.72:
@@ -305,7 +425,7 @@ def trained(pages: int = PAGES, seed: int = SEED, steps: int = STEPS) -> Chain:
 
 
 def main_text(chain: Chain, page: str | None) -> str:
-    blocks = leaf_blocks(page)
+    blocks = leaf_blocks(page, chain.weights)
     return "\n".join([text for (text, _), y in zip(blocks, chain.decode([x for _, x in blocks])) if y])
 
 
