@@ -4,13 +4,13 @@ Terms are lower-cased runs of word characters. A term is in the lexicon if the s
 within [lo, hi], a band of inverse document frequency. The distinct lexicon terms of a text are sorted, and one hash is
 taken of the whole list and of its part in each of several random subsets of the lexicon: 4 subsets at each of the rates
 1/2, 1/4 ... 1/256. Dense subsets tell short texts apart, sparse ones still agree on long texts after small edits, so
-the share of equal hashes grows with likeness.
+the share of equal hashes grows with likeness. One more hash is taken of all distinct terms, so that texts of which the
+lexicon knows nothing are told apart too. The rule is the same for every text, however few of its terms are in the lexicon.
 
 Size bound of what is broadcast: the document frequencies of all terms sum to the number of distinct terms of all
 documents, so at most (mean distinct terms of a document) / lo terms can be in the band, however large the corpus is.
 
-Defined results: a null text counts as empty; the empty text has the all-zero fingerprint; a text with fewer than
-MIN_TERMS lexicon terms uses all its terms; equal texts always have equal fingerprints. Repeated rows each give a row.
+Defined results: a null text counts as empty; a text without terms has the all-zero fingerprint; equal texts always have equal fingerprints. Repeated rows each give a row.
 Rows are ordered by doc_id descending, then by text; a null doc_id comes last. Extra input columns are ignored.
 """
 
@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from larkspan.llm._common import blank, slots, table
 
-LO, HI, LEVELS, PER_LEVEL, MIN_TERMS, FLUSH = 0.001, 0.10, 8, 4, 8, 300_000
+LO, HI, LEVELS, PER_LEVEL, FLUSH = 0.001, 0.10, 8, 4, 300_000
 TERM = re.compile(r"\w+")
 
 
@@ -82,16 +82,11 @@ class IMatch:
 
     def fingerprint(self, text: str | None) -> str:
         seen = set(TERM.findall((text or "").lower()))
-        terms = sorted(seen & self.slots.keys())
         lists: list[list[str]] = [[] for _ in range(self.n)]
-        if len(terms) >= MIN_TERMS:
-            for t in terms:
-                for s in self.slots[t]:
-                    lists[s].append(t)
-        else:
-            for t in sorted(seen):
-                for s in self.slots.get(t) or self.member(t):
-                    lists[s].append(t)
+        for t in sorted(seen & self.slots.keys()):
+            for s in self.slots[t]:
+                lists[s].append(t)
+        lists.append(sorted(seen))
         return "".join([f"{xxhash.xxh32_intdigest(' '.join(x)) or 1:08x}" if x else "00000000" for x in lists])
 
     @staticmethod

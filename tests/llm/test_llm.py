@@ -48,6 +48,10 @@ def test_fingerprints(spark, texts, odd, empty):
     for i, t in texts.items():
         assert same.setdefault(t, got[i].fingerprint) == got[i].fingerprint
     assert sum(r.near_edited for r in got.values()) > 5 * sum(r.near_next for r in got.values())
+    few = fingerprints.IMatch([f"w{i}" for i in range(40)])
+    say = lambda n, more: few.fingerprint(" ".join([f"w{i}" for i in range(n)] + [f"x{i}" for i in range(more)]))
+    steps = [few.likeness(say(n, 40), say(n + 1, 40)) for n in range(4, 14)]
+    assert max(steps) - min(steps) < 0.5 and few.likeness(say(0, 3), say(0, 4)) == 0 and few.likeness(say(0, 3), say(0, 3)) == 1
     out = fingerprints.near_report(odd).collect()
     assert len(out) == odd.count() and {r.n_chars for r in out if r.doc_id == 4} == {0}
     assert fingerprints.near_report(empty).count() == 0
@@ -428,6 +432,41 @@ def test_html():
     assert htmltext.main_text(chain, None) == htmltext.main_text(chain, "") == htmltext.main_text(chain, "<!-- x") == ""
 
 
+def test_html_scanner_is_linear():
+    import time
+
+    chain = htmltext.trained()
+    begin = time.time()
+    for page in ("<a " * 300_000, "<!" * 300_000, "<a \">\" " * 100_000, "<a \"" + "<p>x" * 50_000, "<div>" * 100_000 + "x", "<div>" * 50_000 + "</p>" * 50_000, "<script>" * 50_000, "<!--" * 100_000):
+        htmltext.main_text(chain, page)
+    assert time.time() - begin < 40
+    deep = "<div>" * 600
+    assert htmltext.main_text(chain, f"<article>{deep}<p>One two three four.</p></article>") == htmltext.main_text(chain, "<article><div><p>One two three four.</p></div></article>") == "One two three four."
+
+
+def test_html_by_hand():
+    """Hand-made pages, of no generated layout."""
+    chain = htmltext.trained()
+    pages = [
+        ("<html><body><nav><ul><li><a href=/>Home</a></li></ul></nav><article><p>Short note today.</p></article><footer><p>&copy; x</p></footer></body></html>", "Short note today."),
+        ("<body><header><a href=/>Site</a></header><main><h1>Energy</h1><p>Energy is <math><mi>E</mi>=<mi>mc</mi></math> known to all, says <object>who</object>.</p></main><footer>Imprint</footer>", "Energy\nEnergy is E=mc known to all, says who."),
+        ("<div id=nav><a href=a>A</a> <a href=b>B</a></div><div class='post-content'><h2>Why bees matter</h2><p>Bees carry pollen from one flower to the next.</p><ul><li>Clover</li><li>Apple</li></ul></div><div class=sidebar><p>Popular posts</p></div><div id=footer>&copy; 2020 Bee Club</div>", "Why bees matter\nBees carry pollen from one flower to the next.\nClover\nApple"),
+        ("<article><h1>Rain</h1><p>It rained &#99999999999; all &#0000065; day.</p></article><section class=comments><div class=comment><b>Ann</b><p>So wet here too.</p></div></section>", "Rain\nIt rained \ufffd all A day."),
+        ("<div class='cookie-notice'><p>We use cookies.</p><button>OK</button></div><article><p>The bridge opened on Monday after two years of work.</p><aside class=ad><p>Buy bolts.</p></aside><p>Traffic was light.</p></article>", "The bridge opened on Monday after two years of work.\nTraffic was light."),
+    ]
+    for page, text in pages:
+        assert htmltext.main_text(chain, page) == text
+
+
+def test_html_tables_of_odd_kinds(spark):
+    chain = htmltext.trained(100, steps=60)
+    long = "<article>" + "<p>Some words of a long page.</p>" * 20_000 + "</article>"
+    pages = spark.createDataFrame([(1, "u", long, 7, "t"), (1, "u", long, 7, "t"), (2, None, None, None, None)], "page_id bigint, url string, html string, n_chars int, text string")
+    out = htmltext.extract(pages, chain).collect()
+    assert sorted(r.n_chars for r in out) == [0, 20_000 * 27 - 1, 20_000 * 27 - 1] and out[0].asDict().keys() == {"page_id", "url", "text", "n_chars"}
+    assert htmltext.extract(pages.where("false"), chain).count() == 0
+
+
 def test_html_viterbi_is_the_best_labelling():
     import itertools
 
