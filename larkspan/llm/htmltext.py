@@ -400,14 +400,15 @@ def labelled_page(r: random.Random) -> list[tuple[str, int]]:
         add(f"</{shell}>")
 
     add("<!DOCTYPE html><html><head><title>x</title></head><body>")
-    if r.random() < 0.4:
+    alone = r.random() < 0.1  # a page with nothing but its article
+    if not alone and r.random() < 0.4:
         add(r.choice(["<header>", '<div class="header">', '<div id="masthead">'])), add(f"<p>{say(1, 9)}</p>"), menu(), add(r.choice(["</header>", "</div>"]))
     for extra, share in ((menu, 0.7), (advert, 0.4), (notice, 0.3), (side, 0.2), (form, 0.15)):
-        if r.random() < share:
+        if not alone and r.random() < share:
             extra()
     article()
     for extra, share in ((comments, 0.35), (side, 0.3), (advert, 0.25), (form, 0.2), (notice, 0.15), (menu, 0.15), (footer, 0.9)):
-        if r.random() < share:
+        if not alone and r.random() < share:
             extra()
     return out
 
