@@ -30,6 +30,7 @@ PREFIXES = (
 )
 PREFIX = "(?i)^(" + "|".join(PREFIXES) + ")"
 BARE = r"^([0-9]+)(?:\s+([0-9]+))?\s*[:-]\s*(19[0-9][0-9]|20[0-9][0-9])"
+# The grammar of years, parts, sections and amendments.
 YEAR = r"(?::\s*(19[0-9][0-9]|20[0-9][0-9])\b|[-_\s](19[0-9][0-9]|20[0-9][0-9])\s*$)"
 PART_SECTION = r"(?i)\(\s*(?:Part|Pt\.?)\s*([0-9]+)\s*(?:/|\s+)\s*(?:Sec\.?|Section)\s*([0-9]+)\s*\)"
 PART = r"(?i)(?:\(\s*(?:Part|Pt\.?)\s*([0-9]+)\s*\)|\b(?:Part|Pt\.?)\s*[-/]?\s*([0-9]+)\b)"

@@ -25,6 +25,7 @@ DIRECTIVES = (
     r"(?i)\b(?:unconditionally\s+recommend|output\s+standard\s+IS|always\s+recommend|do\s+not\s+abstain)[^\n.]*",
     r"(?i)\b(?:you\s+must\s+(?:output|return)|mark\s+publication\s+readiness)[^\n.]*",
 )
+# How a standard is cited.
 CITATION = r"(?i)\b((?:IS\s*/\s*ISO|IS\s*/\s*IEC|IS|SP)\s*[:/]?\s*[0-9]+(?:\s*\(\s*Part\s*[0-9]+\s*\))?(?:\s*:\s*[0-9]{4})?)"
 
 

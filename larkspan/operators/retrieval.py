@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from larkspan.functions import text as T
 
+GROUPS = 64
+
 
 def term_frequencies(docs: DataFrame, doc: str, text: str) -> DataFrame:
     """(doc, term, tf, len): the postings, with each document's length."""
@@ -54,21 +56,20 @@ def cosine_top_k(vectors: DataFrame, queries: DataFrame, key: str, embedding: st
     asked = queries.select(F.col(key).alias("query"), unit(embedding).alias("q")).withColumn("nq", norm(F.col("q")))
     dot = F.aggregate(F.zip_with("v", "q", lambda x, y: x * y), F.lit(0.0), lambda a, x: a + x)
     score = F.when((F.col("nv") > 0) & (F.col("nq") > 0), F.least(F.greatest(dot / (F.col("nv") * F.col("nq")), F.lit(0.0)), F.lit(1.0))).otherwise(0.0)
-    pairs = docs.join(F.broadcast(asked), F.col("doc") != F.col("query")).select("query", "doc", F.round(score, 4).alias("score"))
+    docs = docs.withColumn("g", F.pmod(F.xxhash64("doc"), F.lit(GROUPS)))
+    asked = asked.withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(GROUPS - 1))))
+    pairs = docs.join(asked, "g").where("doc <> query").select("query", "doc", F.round(score, 4).alias("score"))
     w = Window.partitionBy("query").orderBy(F.desc("score"), "doc")
     return pairs.withColumn("rank", F.row_number().over(w)).where((F.col("rank") <= k) & (F.col("score") > floor))
 
 
-def fused(parts: dict[str, DataFrame], weights: dict[str, float]) -> DataFrame:
-    """Candidates (query, doc, score) of several retrievers as one row each: the weighted mean, boosted where two agree."""
-    long = None
-    for name, df in parts.items():
-        one = df.select("query", "doc", *[(F.col("score") if n == name else F.lit(0.0)).alias(n) for n in parts], F.lit(1).alias("hit"))
-        long = one if long is None else long.unionByName(one)
-    wide = long.groupBy("query", "doc").agg(*[F.max(n).alias(n) for n in parts], F.sum("hit").alias("agreeing"))
-    total = sum(weights.values())
-    base = sum((F.col(n) * w for n, w in weights.items()), F.lit(0.0)) / total
-    boosted = F.when(F.col("agreeing") >= 2, F.least(F.lit(0.98), base * 1.15)).otherwise(base)
+def fused(long: DataFrame, weights: dict[str, float]) -> DataFrame:
+    """long: rows (query, doc, a score for each name in weights, 0 where it has none). Each candidate as one row: the weighted
+    mean of its best scores, boosted where two retrievers agree."""
+    wide = long.groupBy("query", "doc").agg(*[F.max(n).alias(n) for n in weights])
+    agreeing = sum((F.when(F.col(n) > 0, 1).otherwise(0) for n in weights), F.lit(0))
+    base = sum((F.col(n) * w for n, w in weights.items()), F.lit(0.0)) / sum(weights.values())
+    boosted = F.when(agreeing >= 2, F.least(F.lit(0.98), base * 1.15)).otherwise(base)
     return wide.withColumn("score", F.round(F.least(F.lit(0.98), boosted), 3))
 
 

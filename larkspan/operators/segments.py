@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from larkspan.functions import idents as I
 
+# What a clause heading looks like.
 CLAUSE = r"^(?:(?:Clause|Section)\s+)?([0-9]+(?:\.[0-9]+)*)\s+[A-Z0-9]"
 NAMED = r"(?i)^(Foreword|Scope|References|Annexure\s+[A-Z0-9]+|Appendix\s+[A-Z0-9]+|Table\s+[0-9]+(?:\.[0-9]+)?)\b"
 # Lines that carry no requirement.

@@ -252,7 +252,7 @@ def guarded_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def relation_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """GRF-02, GRF-05, GRF-07: five related entries of each part, explained, with a warning for those that are withdrawn."""
+    """Five related entries of each part, explained, with a warning for those that are withdrawn (parts of the graph reports)."""
     e = table(spark, sf_dir, "lineitem").selectExpr("l_partkey src", "l_suppkey dst", "case l_linenumber % 3 when 0 then 'REFERENCES' when 1 then 'SUPERSEDES' else 'TEST_METHOD' end type", "l_orderkey", "l_linenumber").groupBy("src", "dst", "type").agg(F.min(F.struct("l_orderkey", "l_linenumber")).alias("seen"))
     s = table(spark, sf_dir, "supplier").selectExpr("s_suppkey dst", "s_name name", "s_acctbal < 0 withdrawn")
     j = e.join(s, "dst")
