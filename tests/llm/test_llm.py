@@ -8,6 +8,7 @@ import zlib
 from collections import Counter
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -327,12 +328,16 @@ def test_suffixtree(spark, texts, odd, empty):
 
 def test_suffixtree_is_a_distribution(spark, texts):
     """In every state the shares of all known words, the unknown word and the end add to one."""
-    rows = spark.createDataFrame([(t,) for t in texts.values()], "t string")
+    rows = spark.createDataFrame([(None, False, t) for t in texts.values()], "doc_id bigint, held boolean, t string")
     counts = suffixtree.word_counts(rows)
-    tree = suffixtree.learn(rows, counts, head=1e-4)
-    assert len(tree.next) > 1
-    for p in tree.next:
-        assert abs(p.sum() - 1) < 1e-9
+    tree, flat = suffixtree.start_tree(counts, head=1e-4, support=16)
+    suffixtree.grow(tree, flat, suffixtree.encode(rows, tree))
+    assert len(tree.levels) > 1
+    every = np.arange(tree.n)
+    for k in range(len(tree.levels) + 1):
+        for state in range(len(tree.levels[k - 1].keys) if k else 1):
+            p = tree.share(k, np.full(tree.n, state), every)
+            assert (p >= 0).all() and abs(p.sum() - 1) < 1e-9
     shares = Counter()
     chosen = {w for i, w in enumerate(tree.words) if tree.symbol[i] < tree.s or w == b""}
     for w, c in [(bytes(r.word), r.c) for r in counts.collect()]:
@@ -342,6 +347,90 @@ def test_suffixtree_is_a_distribution(spark, texts):
     assert all(abs(v + tree.unknown[x] - 1) < 1e-9 for x, v in shares.items())
 
 
+def tree_by_plain_loops(train, ask, least, divergence, mu):
+    """log10 P of the texts `ask` (words only of the training texts), with contexts as tuples, and the retained contexts."""
+    split = [t.split() for t in train]
+    c = Counter(w for t in split for w in t)
+    total, ends = sum(c.values()) + len(split), len(split)
+    of = {w: w if n >= least else (suffixtree.class_of(w.encode()),) for w, n in c.items()}
+    big, once = Counter(), Counter()
+    for w, n in c.items():
+        if n < least:
+            big[of[w]] += n
+            once[of[w]] += n == 1
+    flat = {**{w: n for w, n in c.items() if n >= least}, **{(x,): big[(x,)] for x in range(256)}, "END": ends}
+    root = {x: (n + 0.5) / (total + 0.5 * len(flat)) for x, n in flat.items()}
+    seen = [["START", *[of[w] for w in t], "END"] for t in split]
+    after = {}
+    for line in seen:
+        for i in range(1, len(line)):
+            for j in range(i):
+                after.setdefault(tuple(line[j:i]), Counter())[line[i]] += 1
+    kept = {}
+
+    def p(s, x):
+        if not s:
+            return root[x]
+        n, big = kept[s]
+        return (big.get(x, 0) + (n - sum(big.values()) + mu) * p(s[1:], x)) / (n + mu)
+
+    level = [s for s, f in after.items() if len(s) == 1 and sum(f.values()) >= least]
+    while level:
+        stays = []
+        for s in level:
+            n = sum(after[s].values())
+            kept[s] = (n, {x: f for x, f in after[s].items() if f >= least})
+            both = [(p(s, x), p(s[1:], x)) for x in root]
+            if sum(a * math.log(a / b) for a, b in both) >= divergence:
+                stays.append(s)
+            else:
+                del kept[s]
+        level = [s for s, f in after.items() if s[1:] in stays and sum(f.values()) >= least]
+    out = []
+    for t in ask:
+        line, score = ["START", *[of[w] for w in t.split()], "END"], 0.0
+        for i in range(1, len(line)):
+            k = next(k for k in range(i + 1) if k == i or line[i - k - 1 : i] and tuple(line[i - k - 1 : i]) not in kept)
+            score += math.log10(p(tuple(line[i - k : i]), line[i]))
+        for w in t.split():
+            if of[w] != w:
+                n = big[of[w]]
+                score += math.log10((1 - (once[of[w]] + 0.5) / (n + 1)) * c[w] / n)
+        out.append(score)
+    return out, kept
+
+
+def test_suffixtree_by_plain_loops(spark):
+    """Retention, counts and scores against plain loops, with contexts of more than two symbols and no class unknown."""
+    rng = random.Random(8)
+    phrase = "one two three four five six".split()
+    train = []
+    for _ in range(160):
+        words = []
+        for _ in range(rng.randrange(12)):
+            x = rng.random()
+            words += ["one", "two", "three", rng.choice("uv")] + (["same"] if x < 0.1 else ["other", "end"]) if x < 0.2 else phrase[: rng.randrange(7)] if x < 0.7 else [rng.choice("abcd") + rng.choice("xyz")]
+        train.append(" ".join(words))
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(train)], "doc_id bigint, text string")
+    total = sum(len(t.split()) + 1 for t in train)
+    got = suffixtree.lm_scores(rows, is_held_out=lambda i: i < 0, support=math.sqrt(total) / 6, divergence=0.02, mu=3.0).collect()
+    want, kept = tree_by_plain_loops(train, train, 6, 0.02, 3.0)
+    assert max(map(len, kept)) > 2
+    assert all(abs(r.score - want[r.doc_id]) < 1e-9 * max(1, abs(r.score)) for r in got)
+
+
+def test_suffixtree_grows_with_the_corpus(spark):
+    """More text, more symbols and contexts: the support is a falling share of the corpus."""
+    found = []
+    for sf in ("sf0.001", "sf0.01"):
+        rows = spark.read.parquet(f"/root/testdata/{sf}/documents.parquet").select("doc_id", F.lit(False).alias("held"), F.coalesce("text", F.lit("")).alias("t"))
+        tree, flat = suffixtree.start_tree(suffixtree.word_counts(rows))
+        suffixtree.grow(tree, flat, suffixtree.encode(rows, tree))
+        found.append((tree.total, tree.s, sum(len(x.keys) for x in tree.levels)))
+    (n0, s0, c0), (n1, s1, c1) = found
+    assert n1 > n0 and s1 > 1.5 * s0 and c1 > 1.25 * c0
+
+
 def test_toxicity(spark, odd, empty):
     sf = "/root/testdata/sf0.1"
     out = {r.doc_id: r for r in toxicity.op10_toxicity(spark, sf).collect()}
