@@ -24,7 +24,7 @@ from __future__ import annotations
 
 import math
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -178,7 +178,7 @@ class Tree:
         return level.smooth(state, state * self.n + x, self.share(k - 1, level.keys[state] // self.n, x))
 
 
-def chunks(texts: list[bytes], size: int = 400_000) -> Iterator[list[np.ndarray]]:
+def chunks(texts: Iterable[bytes], size: int = 200_000) -> Iterator[list[np.ndarray]]:
     """Texts of symbols in groups of about `size` symbols."""
     held: list[np.ndarray] = []
     total = 0
@@ -204,7 +204,7 @@ def encode(rows: DataFrame, tree: Tree) -> DataFrame:
         end = index[END] if END in index else head
         base = np.concatenate([np.log10(tree.counts + 0.5), np.zeros(CLASSES)])
         inner = np.concatenate([tree.inner, np.zeros(CLASSES)])
-        for batch in batches:
+        for batch in (b.slice(i, 500) for b in batches for i in range(0, b.num_rows, 500)):
             out: list[tuple] = []
             rare: list[dict] = []
             for t in batch.column(3):
@@ -245,7 +245,7 @@ def tallies(training: DataFrame, tree: Tree, keys: np.ndarray) -> tuple[np.ndarr
             return pa.RecordBatch.from_arrays([pa.array(key), pa.array(c.astype(np.int64))], ["key", "c"])
 
         for batch in batches:
-            for texts in chunks(batch.column(0).to_pylist()):
+            for texts in chunks(x.as_py() for x in batch.column(0)):
                 line = tree.line(texts)
                 at, state = tree.tokens(line), None
                 for at, state in tree.walk(line):
@@ -259,7 +259,7 @@ def tallies(training: DataFrame, tree: Tree, keys: np.ndarray) -> tuple[np.ndarr
                     inside = more != end
                     held.append((state[inside] * n + more[inside]) * 2 + 1)
                 size += sum(map(len, held[-2:]))
-                if size > 4_000_000:
+                if size > 2_000_000:
                     yield flush()
                     size = 0
         yield flush()
@@ -343,7 +343,7 @@ def score(coded: DataFrame, tree: Tree, counts: DataFrame) -> DataFrame:
         tree.levels, tree.n, tree.start, tree.end, tree.root = sent.value
         for batch in batches:
             total = [np.zeros(0)]
-            for texts in chunks(batch.column(6).to_pylist()):
+            for texts in chunks(x.as_py() for x in batch.column(6)):
                 line = tree.line(texts)
                 total.append(np.add.reduceat(np.log10(tree.shares(line)), np.flatnonzero(line == tree.start)))
             whole = np.concatenate(total) + batch.column(5).to_numpy()
