@@ -11,7 +11,7 @@ a few centres of their bucket, and classes that verified links join become one c
 of a bucket that still lie in different components are compared, inside the join, by the sizes of their sets, by bit maps
 (an exact bound) and by four bits of each of the M registers; those whose likeness may reach the limit (five standard
 errors, or one link in three million) are verified. So a large group of copies costs a few comparisons a member, unlike texts that share a passage
-leave no rows, and no link between components is lost.
+leave no rows. A link may be lost with the chances named above: by sharing no band, or by the registers.
 
 Links and components stay distributed; each round is written to the shared folder.
 
