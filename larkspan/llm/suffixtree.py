@@ -86,25 +86,72 @@ def class_sums(counts: DataFrame, symbols: set[bytes]) -> dict[int, tuple[int, i
     return {r.x: (r.n, r.n1) for r in got}
 
 
-def find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places of wanted among sorted keys, and whether they are there."""
-    if not len(keys):
-        return np.zeros(len(wanted), np.int64), np.zeros(len(wanted), bool)
-    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-    return at, keys[at] == wanted
+class Keys:
+    """Distinct numbers, found by hashing: tables of places, each for the keys that found their slot taken in the one before.
+    A slot holds twice the place of its key, plus one if other keys wanted it too. Only the keys travel; executors make the tables."""
+
+    def __init__(self, keys: np.ndarray):
+        self.keys, self.tables = np.asarray(keys, np.int64), None
+
+    def __reduce__(self) -> tuple:
+        return Keys, (self.keys,)
+
+    @staticmethod
+    def slots(x: np.ndarray, number: int, bits: int) -> np.ndarray:
+        factor = np.uint64(0x9E3779B97F4A7C15 * (2 * number + 1) % 2**64)
+        return ((x.view(np.uint64) * factor) >> np.uint64(64 - bits)).view(np.int64)
+
+    def build(self) -> list[tuple[int, np.ndarray]]:
+        tables: list[tuple[int, np.ndarray]] = []
+        left = np.arange(len(self.keys))
+        while len(left):  # each table places one key at least
+            bits = (2 * len(left)).bit_length()
+            at = self.slots(self.keys[left], len(tables), bits)
+            t = np.zeros(1 << bits, np.int64)
+            t[at] = left
+            out = t[at] != left
+            t *= 2
+            t[at[out]] |= 1
+            tables.append((bits, t.astype(np.int32) if len(self.keys) < 2**30 else t))
+            left = left[out]
+        return tables
+
+    def find(self, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of wanted among the keys, and whether they are there."""
+        place, hit = np.zeros(len(wanted), np.int64), np.zeros(len(wanted), bool)
+        if self.tables is None:
+            self.tables = self.build()
+        x, left = wanted, None
+        for number, (bits, table) in enumerate(self.tables):
+            slot = table[self.slots(x, number, bits)]
+            at = slot >> 1
+            same = self.keys[at] == x  # an empty slot names the first key, which is never the one that hashes there
+            more = np.flatnonzero((slot & 1).astype(bool) & ~same)
+            if left is None:
+                place, hit, left = at, same, more
+            else:
+                place[left], hit[left], left = at, same, left[more]
+            if not len(left):
+                break
+            x = wanted[left]
+        return place, hit
 
 
 class Level:
     """Contexts of one length, by state: key (state of the suffix * symbols + first symbol; sorted), count, successors."""
 
     def __init__(self, keys: np.ndarray, n: np.ndarray, pairs: np.ndarray, c: np.ndarray, symbols: int, mu: float):
-        self.keys, self.n = keys, n.astype(np.float64)
-        self.pairs, self.c = pairs, c.astype(np.float64)  # pairs: state * symbols + next symbol, sorted
+        self.states, self.n = Keys(keys), n.astype(np.float64)
+        self.nexts, self.c = Keys(pairs), c.astype(np.float64)  # pairs: state * symbols + next symbol, sorted
         self.rest = self.n + mu - np.bincount(pairs // symbols, self.c, len(keys))
         self.whole = self.n + mu
 
+    @property
+    def keys(self) -> np.ndarray:
+        return self.states.keys
+
     def smooth(self, state: np.ndarray, pair: np.ndarray, lower: np.ndarray) -> np.ndarray:
-        at, hit = find(self.pairs, pair)
+        at, hit = self.nexts.find(pair)
         c = np.zeros(len(pair))
         c[hit] = self.c[at[hit]]
         return (c + self.rest[state] * lower) / self.whole[state]
@@ -157,7 +204,7 @@ class Tree:
         at, state = self.tokens(line), np.zeros(0, np.int64)
         for k, level in enumerate(self.levels, 1):
             before = line[at - k]
-            state, hit = find(level.keys, before if k == 1 else state * self.n + before)
+            state, hit = level.states.find(before if k == 1 else state * self.n + before)
             at, state = at[hit], state[hit]
             yield at, state
 
@@ -229,7 +276,7 @@ def encode(rows: DataFrame, tree: Tree) -> DataFrame:
 def tallies(training: DataFrame, tree: Tree, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """For candidates one symbol longer than the tree's contexts, over rows (s): (candidate * symbols + next symbol, count), and
     the same for the symbol before a candidate of two symbols or more. Counts below the support stay in Spark."""
-    sent = training.sparkSession.sparkContext.broadcast((tree.levels, tree.n, tree.start, tree.end, keys))
+    sent = training.sparkSession.sparkContext.broadcast((tree.levels, tree.n, tree.start, tree.end, Keys(keys)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         levels, n, start, end, keys = sent.value
@@ -251,7 +298,7 @@ def tallies(training: DataFrame, tree: Tree, keys: np.ndarray) -> tuple[np.ndarr
                 for at, state in tree.walk(line):
                     pass
                 before = line[at - k]
-                state, hit = find(keys, before if k == 1 else state * n + before)
+                state, hit = keys.find(before if k == 1 else state * n + before)
                 at, state = at[hit], state[hit]
                 held.append((state * n + line[at]) * 2)
                 if k > 1:
@@ -321,7 +368,7 @@ def grow(tree: Tree, flat: np.ndarray, training: DataFrame, divergence: float =
         kept = found >= divergence
         number = np.cumsum(kept) - 1
         if k == 1:  # of two symbols y x, x is the context and y the symbol before it
-            at, hit = find(keys, x)
+            at, hit = Keys(keys).find(x)
             longer, longer_c = at[hit] * tree.n + keys[state[hit]], c[hit]
             order = np.argsort(longer)
             longer, longer_c = longer[order], longer_c[order]
