@@ -124,7 +124,7 @@ class Keys:
         x, left = wanted, None
         for number, (bits, table) in enumerate(self.tables):
             slot = table[self.slots(x, number, bits)]
-            at = slot >> 1
+            at = (slot >> 1).astype(np.int64)
             same = self.keys[at] == x  # an empty slot names the first key, which is never the one that hashes there
             more = np.flatnonzero((slot & 1).astype(bool) & ~same)
             if left is None:

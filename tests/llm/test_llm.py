@@ -326,6 +326,19 @@ def test_suffixtree(spark, texts, odd, empty):
     assert suffixtree.lm_scores(odd).count() == odd.count() and suffixtree.lm_scores(empty).count() == 0
 
 
+def test_suffixtree_keys():
+    r = np.random.default_rng(3)
+    for n, wide in ((0, 9), (1, 9), (4, 9), (3000, 4000), (50_000, 2**40)):
+        keys = np.unique(r.integers(0, wide, n))
+        r.shuffle(keys)
+        wanted = np.concatenate([keys, r.integers(0, wide, 2000)])
+        place, hit = suffixtree.Keys(keys).find(wanted)
+        where = {x: i for i, x in enumerate(keys.tolist())}
+        assert hit.tolist() == [x in where for x in wanted.tolist()]
+        assert place[hit].tolist() == [where[x] for x in wanted[hit].tolist()]
+        assert place.dtype == np.int64 and (place * 2**40 >= 0).all()  # states are multiplied by the number of symbols
+
+
 def test_suffixtree_is_a_distribution(spark, texts):
     """In every state the shares of all known words, the unknown word and the end add to one."""
     rows = spark.createDataFrame([(None, False, t) for t in texts.values()], "doc_id bigint, held boolean, t string")
