@@ -173,6 +173,7 @@ class Tree:
         self.class_n = np.zeros(CLASSES)
         self.root = np.full(self.n, 1 / self.n)
         self.levels: list[Level] = []
+        self.couples = Keys(np.zeros(0, np.int64))  # all two symbols in a row, as often as the support
 
     def index(self) -> dict:
         """By word: its number among the head words, or the number of head words plus its class."""
@@ -275,11 +276,12 @@ def encode(rows: DataFrame, tree: Tree) -> DataFrame:
 
 def tallies(training: DataFrame, tree: Tree, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """For candidates one symbol longer than the tree's contexts, over rows (s): (candidate * symbols + next symbol, count), and
-    the same for the symbol before a candidate of two symbols or more. Counts below the support stay in Spark."""
-    sent = training.sparkSession.sparkContext.broadcast((tree.levels, tree.n, tree.start, tree.end, Keys(keys)))
+    the same for the symbol before a candidate of two symbols or more. Counts below the support stay in Spark, and what can't reach
+    it isn't counted: a string occurs no oftener than the string without its first symbol, or than its first two."""
+    sent = training.sparkSession.sparkContext.broadcast((tree.levels, tree.n, tree.start, tree.end, tree.couples, Keys(keys)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        levels, n, start, end, keys = sent.value
+        levels, n, start, end, couples, keys = sent.value
         tree = Tree.__new__(Tree)
         tree.levels, tree.n, tree.start, tree.end = levels, n, start, end
         k = len(levels) + 1
@@ -294,16 +296,19 @@ def tallies(training: DataFrame, tree: Tree, keys: np.ndarray) -> tuple[np.ndarr
         for batch in batches:
             for texts in chunks(x.as_py() for x in batch.column(0)):
                 line = tree.line(texts)
-                at, state = tree.tokens(line), None
-                for at, state in tree.walk(line):
+                at, shorter = tree.tokens(line), None
+                for at, shorter in tree.walk(line):
                     pass
                 before = line[at - k]
-                state, hit = keys.find(before if k == 1 else state * n + before)
+                state, hit = keys.find(before if k == 1 else shorter * n + before)
                 at, state = at[hit], state[hit]
-                held.append((state * n + line[at]) * 2)
-                if k > 1:
+                if k == 1:
+                    held.append((state * n + line[at]) * 2)
+                else:
+                    often = levels[-1].nexts.find(shorter[hit] * n + line[at])[1]
+                    held.append((state[often] * n + line[at[often]]) * 2)
                     more = line[at - k - 1]
-                    inside = more != end
+                    inside = (more != end) & couples.find(more * n + line[at - k])[1]
                     held.append((state[inside] * n + more[inside]) * 2 + 1)
                 size += sum(map(len, held[-2:]))
                 if size > 2_000_000:
@@ -368,6 +373,7 @@ def grow(tree: Tree, flat: np.ndarray, training: DataFrame, divergence: float =
         kept = found >= divergence
         number = np.cumsum(kept) - 1
         if k == 1:  # of two symbols y x, x is the context and y the symbol before it
+            tree.couples = Keys(keys[state] * tree.n + x)
             at, hit = Keys(keys).find(x)
             longer, longer_c = at[hit] * tree.n + keys[state[hit]], c[hit]
             order = np.argsort(longer)
