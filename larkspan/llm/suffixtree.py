@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from larkspan.llm._common import blank, cut, table
 
-HEAD, SUPPORT, DIVERGENCE, MU, FLUSH = 1e-6, 64.0, 0.01, 50.0, 300_000
+HEAD, SUPPORT, DIVERGENCE, MU, FLUSH = 2e-7, 64.0, 0.01, 50.0, 300_000
 CLASSES = 256
 END = b""  # no word is empty
 
