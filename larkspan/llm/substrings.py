@@ -14,7 +14,8 @@ prefix sums. Hashing all windows to one place would move several times the corpu
 4. Intervals go back to their document, where they merge; what is left is joined again.
 
 Every window of every document is so compared with all others. Counts are combined before they are shuffled, and a hot
-anchor or content is never gathered in one task: aggregates are minima, and joins on it can be split.
+anchor, content or window is never gathered in one task: aggregates are minima and counts, and in a join the keys that more than
+one row in CROWDED has, of which there are at most CROWDED, go to their rows by broadcast.
 
 Defined results: a null text has no words; a document shorter than a window keeps all; a null doc_id counts as larger
 than all others; rows that share a doc_id do not remove each other's words; extra columns are ignored.
@@ -33,7 +34,7 @@ from pyspark.sql import functions as F
 
 from larkspan.llm._common import blank, cut, table
 
-SIZE, GRAM = 50, 12
+SIZE, GRAM, CROWDED = 50, 12, 1000
 BASE = 0x9E3779B97F4A7C15 | 1
 LAST = 2**63 - 1
 
@@ -144,21 +145,32 @@ def windows(docs: DataFrame, size: int = SIZE) -> DataFrame:
     return docs.mapInArrow(run, "window bigint, k bigint, v bigint, start int")
 
 
+def with_facts(rows: DataFrame, facts: DataFrame, on: list[str], total: int) -> DataFrame:
+    """The inner join of rows, at most `total`, and facts: one row for each key `on`, with m, the number of rows that have the key.
+    Keys that more than one row in CROWDED has are at most CROWDED, and so are broadcast; the others are shuffled."""
+    crowded = F.col("m") > total / CROWDED
+    few = facts.where(crowded).drop("m")
+    rest = rows.join(F.broadcast(few.select(*on)), on, "left_anti")
+    return rows.join(F.broadcast(few), on).unionByName(rest.join(facts.where(~crowded).drop("m"), on))
+
+
 def removal_intervals(docs: DataFrame, size: int = SIZE, gram: int = GRAM) -> DataFrame:
     """(k, v, spans): for rows (k, v, t) the repeated windows as array of struct(start, n), n windows from start."""
     found = cut(blocks(docs, size, gram))
-    repeated = found.groupBy("anchor").agg(F.min("k").alias("lo"), F.max("k").alias("hi"), F.min("content").alias("c0"), F.max("content").alias("c1")).where("lo < hi")
-    shared = cut(found.join(repeated.select("anchor", "lo", (F.col("c0") == F.col("c1")).alias("single")), "anchor"))
+    total, m = found.count(), F.count("*").alias("m")
+    anchors = found.groupBy("anchor").agg(m, F.min("k").alias("lo"), F.max("k").alias("hi"), F.min("content").alias("c0"), F.max("content").alias("c1")).where("lo < hi")
+    repeated = cut(anchors.select("anchor", "m", "lo", (F.col("c0") == F.col("c1")).alias("single")))
+    shared = cut(with_facts(found, repeated, ["anchor"], total))
     span = F.struct("start", "n").alias("span")
     whole = shared.where("single and k > lo").select("k", "v", span)
     mixed = shared.where("not single")
-    first = mixed.groupBy("anchor", "content").agg(F.min("k").alias("first"))
-    placed = cut(mixed.join(first, ["anchor", "content"]))
+    first = cut(mixed.groupBy("anchor", "content").agg(m, F.min("k").alias("first")))
+    placed = cut(with_facts(mixed, first, ["anchor", "content"], total))
     rest = placed.where("k > first").select("k", "v", span)
     open_ = placed.where("k = first").groupBy("k", "v").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
     each = cut(windows(docs.join(open_, ["k", "v"]).select("k", "v", "t", "spans"), size))
-    least = each.groupBy("window").agg(F.min("k").alias("least"), F.max("k").alias("most")).where("least < most").select("window", "least")
-    single = each.join(least, "window").where("k > least").select("k", "v", F.struct("start", F.lit(1).alias("n")).alias("span"))
+    least = cut(each.groupBy("window").agg(m, F.min("k").alias("least"), F.max("k").alias("most")).where("least < most").select("window", "m", "least"))
+    single = with_facts(each, least, ["window"], each.count()).where("k > least").select("k", "v", F.struct("start", F.lit(1).alias("n")).alias("span"))
     return whole.unionByName(rest).unionByName(single).groupBy("k", "v").agg(F.collect_set("span").alias("spans"))
 
 

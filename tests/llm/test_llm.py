@@ -110,6 +110,17 @@ def test_substrings(spark, texts, odd, empty):
     assert substrings.dedup_substrings(empty).count() == 0
 
 
+def test_substrings_crowded_keys(spark):
+    keys = [7] * 6000 + [8] * 3 + list(range(100, 4100))  # of these only 7 is crowded
+    rows = spark.createDataFrame([(k, i) for i, k in enumerate(keys)], "x bigint, i bigint")
+    facts = rows.groupBy("x").agg(F.count("*").alias("m"), F.min("i").alias("lo")).where("x < 3000")
+    joined = substrings.with_facts(rows, facts, ["x"], len(keys))
+    assert joined.columns == ["x", "i", "lo"]
+    want = sorted((k, i, keys.index(k)) for i, k in enumerate(keys) if k < 3000)
+    assert sorted(map(tuple, joined.collect())) == want
+    assert substrings.with_facts(rows.limit(0), facts.limit(0), ["x"], 0).count() == 0
+
+
 def test_neardup(spark, texts, odd, empty):
     out = neardup.op9_neardup(spark, SF).collect()
     assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in out} == neardup.brute_force(list(texts.items()))
