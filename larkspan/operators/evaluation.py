@@ -50,10 +50,15 @@ def confusion(cases: DataFrame, expected: str, predicted: str) -> DataFrame:
 
 
 def group_split(groups: DataFrame, group: str, seed: int, train: float = 0.6, val: float = 0.2) -> DataFrame:
-    """(group, part): whole groups to train, val and test, in the order of a seeded hash."""
-    g = groups.select(F.col(group).alias("grp")).distinct()
-    place = F.row_number().over(Window.orderBy(F.sha2(F.concat(F.lit(f"{seed}:"), F.col("grp")), 256)))
-    n = F.count("*").over(Window.partitionBy(F.lit(0)))
+    """(group, part): whole groups to train, val and test, in the order of a seeded hash. Groups are ordered within the 4096 beginnings
+    of the hash; what is summed in one place and broadcast are the sizes of those."""
+    hashed = F.coalesce(F.sha2(F.concat(F.lit(f"{seed}:"), F.col("grp")), 256), F.lit(""))
+    g = groups.select(F.col(group).alias("grp")).distinct().withColumn("hash", hashed).withColumn("head", F.substring("hash", 1, 3))
+    sizes = g.groupBy("head").agg(F.count("*").alias("size"))
+    sizes = sizes.select("head", (F.sum("size").over(Window.orderBy("head")) - F.col("size")).alias("before"), F.sum("size").over(Window.partitionBy(F.lit(0))).alias("n"))
+    place = F.col("before") + F.row_number().over(Window.partitionBy("head").orderBy("hash"))
+    n = F.col("n")
+    g = g.join(F.broadcast(sizes), "head")
     share = place / n
     return g.select("grp", F.when(share <= train, "train").when(share <= train + val, "val").otherwise("test").alias("part"))
 

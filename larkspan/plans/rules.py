@@ -100,9 +100,15 @@ def claim_grounding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def support_states(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """GAT-10, GAT-09, RET-15: support of documents by the next document of their source."""
-    w = Window.partitionBy("source").orderBy("doc_id")
-    d = table(spark, sf_dir, "documents").select("doc_id", "source", F.array_distinct(T.tokens(F.col("text"))).alias("w")).withColumn("next", F.lead("w").over(w)).where("next is not null")
+    """GAT-10, GAT-09, RET-15: support of documents by the next document of their source; doc_id is a key."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    block = (F.col("doc_id") / 65536).cast("long")  # ids of one source are ordered within blocks, then the blocks
+    ids = d.select("doc_id", "source", block.alias("block"))
+    blocks = ids.groupBy("source", "block").agg(F.min("doc_id").alias("least")).withColumn("after", F.lead("least").over(Window.partitionBy("source").orderBy("block")))
+    within = ids.withColumn("next", F.lead("doc_id").over(Window.partitionBy("source", "block").orderBy("doc_id")))
+    nexts = within.alias("x").join(blocks.alias("b"), F.expr("x.source <=> b.source and x.block = b.block")).select("doc_id", F.coalesce("next", "after").alias("next")).where("next is not null")
+    words = d.select("doc_id", F.array_distinct(T.tokens(F.col("text"))).alias("w"))
+    d = nexts.join(words, "doc_id").select(F.col("next").alias("doc_id"), F.col("w").alias("mine")).join(words, "doc_id").select(F.col("mine").alias("w"), F.col("w").alias("next"))
     return d.groupBy(U.support(F.col("w"), F.col("next")).alias("state")).agg(F.count("*").alias("n"))
 
 
