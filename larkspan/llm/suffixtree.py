@@ -13,8 +13,8 @@ each symbol. A token is scored in the state of its longest retained context; wit
 class, and all unknown words together the share of words that occur once (as in the base score, unknown words count as one).
 
 Counts of all words of all training texts are made in Spark, and each score looks up its rare words there by a join. What
-reaches the driver and goes to executors is bounded: at most 1 / HEAD words with their counts, at most SUPPORT * sqrt(N)
-symbols, and of each level at most SUPPORT * sqrt(N) candidates and as many successors; smaller counts never leave Spark.
+reaches the driver and goes to executors is bounded: at most 1 / HEAD words with their counts (or SUPPORT * sqrt(N), if that is
+more), at most SUPPORT * sqrt(N) symbols, and of each level at most SUPPORT * sqrt(N) candidates and as many successors; smaller counts never leave Spark.
 
 Defined results: a null text counts as empty, with one token, the end. Without training texts N and V are 0, and the base
 formula holds. A null doc_id is not held out. Repeated rows each give a row; extra columns are ignored.
