@@ -6,9 +6,10 @@ candidate survives only if its partial score plus the bound on what remains (the
 of query and candidate) reaches the k-th best score known so far; survivors are compacted before the next block. The k best
 of a query are carried from block to block of a group, so that later blocks start with a bound. All scores are exact.
 
-Queries come in blocks of at most QUERY_BLOCK rows, of which a copy goes to each group of candidates (two groups for each
-shuffle partition, and no smaller than a block): candidates themselves aren't copied. A task keeps k results for each query
-of the block it works on, and its results are merged by query.
+Queries come in blocks of at most QUERY_BLOCK rows, of which a copy goes to each group of candidates: candidates themselves
+aren't copied. See group_count for the number of groups. Copies and candidates meet in a sort-merge join, by a hint: Spark
+takes the exploded copies for hardly larger than the blocks they are copied from, and would send them all to the driver for
+a broadcast. A task keeps k results for each query of the block it works on, and its results are merged by query.
 
 Defined results: a vector takes no part if it is null or holds a null or non-finite component. Components may be of any
 size: where products might pass a long, blocks are scored in unbounded integers and without bounds. Such scores rank by
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 
 from larkspan.llm._common import cut, slots, table
 
-QUERY_BLOCK, BLOCK, DIMS = 2048, 4096, 8
+QUERY_BLOCK, BLOCK, DIMS, GROUP_BLOCKS = 2048, 4096, 8, 64
 LEAST, MOST = -(2**63), 2**63 - 1
 
 
@@ -76,6 +77,14 @@ def packed(rows: DataFrame, size: int, parts: int) -> DataFrame:
     return rows.repartition(parts).mapInArrow(pack, "g int, dims int, ids binary, data binary")
 
 
+def group_count(candidates: int, queries: int, block: int, slots: int, cores: int) -> int:
+    """Groups of candidates: at least two a core, and as many more, up to two a shuffle partition, as leave the copies of the
+    queries no larger than the candidates. A group has at most GROUP_BLOCKS blocks, which the join holds in memory."""
+    blocks = -(-candidates // block)
+    wanted = min(2 * slots, max(2 * cores, candidates // max(1, queries)))
+    return max(1, min(blocks, max(wanted, -(-blocks // GROUP_BLOCKS))))
+
+
 def whole(x: float, scale: int) -> int:
     return int(x) * scale if abs(x) >= 2**53 else math.floor(scale * x)
 
@@ -148,8 +157,6 @@ def top_k(vectors: DataFrame, is_query, k: int = 5, vec_id: str = "vec_id", embe
     """(query_id, rank, vec_id, score): for each row for which is_query(vec_id column) holds, the k best other rows."""
     spark = vectors.sparkSession
     rows = taking_part(vectors, vec_id, embedding)
-    groups = max(1, min(2 * slots(spark), -(-rows.count() // block)))
-    blocks = cut(packed(rows, block, groups))
     chosen = rows.where(is_query(F.col("vec_id"))).groupBy("vec_id").agg(F.min("v").alias("v"))
 
     def pack_queries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -160,6 +167,9 @@ def top_k(vectors: DataFrame, is_query, k: int = 5, vec_id: str = "vec_id", embe
                 yield pa.RecordBatch.from_arrays([pa.array([m.shape[1]], pa.int32()), pa.array([np.asarray(part.column(0), dtype=np.int64).tobytes()], pa.binary()), pa.array([stored(m)], pa.binary())], ["q_dims", "q_ids", "q_data"])
 
     asked = cut(chosen.mapInArrow(pack_queries, "q_dims int, q_ids binary, q_data binary"))
+    queries = asked.agg(F.sum(F.length("q_ids") / 8)).first()[0] or 0
+    groups = group_count(rows.count(), int(queries), block, slots(spark), spark.sparkContext.defaultParallelism)
+    blocks = cut(packed(rows, block, groups))
     copies = asked.withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -181,7 +191,7 @@ def top_k(vectors: DataFrame, is_query, k: int = 5, vec_id: str = "vec_id", embe
                 best = search_blocks(qi, qd, qv, ci, cd, cv, best, k, scale)
         yield done()
 
-    found = copies.join(blocks, "g").select("g", "q_dims", "q_ids", "q_data", "dims", "ids", "data").mapInArrow(search, "query_id bigint, score bigint, beyond string, vec_id bigint")
+    found = copies.hint("merge").join(blocks, "g").select("g", "q_dims", "q_ids", "q_data", "dims", "ids", "data").mapInArrow(search, "query_id bigint, score bigint, beyond string, vec_id bigint")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), F.desc("beyond"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 

@@ -96,6 +96,24 @@ def test_topk_carries_the_best_over_blocks(spark):
     assert got == sorted(want)
 
 
+def test_topk_sends_no_copies_to_the_driver(spark):
+    """Copies of the queries are many times larger than Spark takes them for: no broadcast of them, whatever its limit."""
+    rows = spark.range(3000).selectExpr("id vec_id", "transform(sequence(0, 7), i -> cast((id * 7 + i * i) % 5 as float)) embedding")
+    out = topk.top_k(rows, lambda i: i % 3 == 0, block=128)
+    assert out.count() == 5000
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and "SortMergeJoin" in plan
+
+
+def test_topk_bounds_the_copies_of_queries():
+    cases = [(n, max(1, n // share), slots, cores) for n in (10_000, 600_000, 24_000_000, 120_000_000) for share in (1, 50, 10**6) for slots in (12, 600, 3000) for cores in (4, 6, 200)]
+    for n, q, slots, cores in cases:
+        g, blocks = topk.group_count(n, q, topk.BLOCK, slots, cores), -(-n // topk.BLOCK)
+        assert 1 <= g <= blocks and blocks <= topk.GROUP_BLOCKS * g
+        assert g * q <= n or g <= max(1, 2 * cores, -(-blocks // topk.GROUP_BLOCKS))
+    assert topk.group_count(0, 0, topk.BLOCK, 12, 6) == 1
+
+
 def test_substrings(spark, texts, odd, empty):
     out = substrings.op7_substrings(spark, SF).collect()
     want = substrings.brute_force(list(texts.items()))
