@@ -105,22 +105,22 @@ def mix(docs: DataFrame, weights: dict = WEIGHTS, share: float = SHARE, epochs:
     plan = plan.withColumn("whole", F.expr("case when tokens > 0 then budget div tokens else 0 end")).withColumn("part", F.expr("case when tokens > 0 then budget % tokens else 0 end"))
     plan = cut(plan.select(*LEVELS, F.col("whole").cast("int").alias("whole"), "part"))
     taken = ("doc_id", *LEVELS, "n_tokens", "tie", *(["row"] if keep else []))
-    placed = taking.join(plan, list(LEVELS))
     mark = F.md5(F.concat_ws(":", F.lit(seed), F.col("whole").cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
-    into = lambda df: df.where("part > 0").withColumn("mark", mark).withColumn("bucket", F.substring("mark", 1, DIGITS))
-    marked = into(placed)
-    sums = into(slim.join(plan, list(LEVELS))).groupBy(*LEVELS, "part", "bucket").agg(F.sum("n_tokens").alias("n"))
+    into = lambda df: df.withColumn("mark", mark).withColumn("bucket", F.substring("mark", 1, DIGITS))
+    sums = into(slim.join(plan.where("part > 0"), list(LEVELS))).groupBy(*LEVELS, "part", "bucket").agg(F.sum("n_tokens").alias("n"))
     run = F.sum("n").over(Window.partitionBy(*LEVELS).orderBy("bucket"))
-    edges = cut(sums.withColumn("begin", run - F.col("n")).where("begin < part").select(*LEVELS, "bucket", "begin", (F.col("part") - F.col("begin") >= F.col("n")).alias("inside")))
+    edges = sums.withColumn("begin", run - F.col("n")).where("begin < part").select(*LEVELS, "bucket", "begin", (F.col("part") - F.col("begin") >= F.col("n")).alias("inside"))
     # of each leaf: all buckets before the last are inside, the last may be cut
     last = edges.groupBy(*LEVELS).agg(F.max(F.struct("bucket", "begin", "inside")).alias("last")).select(*LEVELS, "last.*").withColumnRenamed("bucket", "edge")
-    near = marked.join(last, list(LEVELS))
-    inside = near.where("bucket < edge or bucket = edge and inside").select(*taken, F.col("whole").alias("epoch"), F.col("n_tokens").alias("taken"))
+    # written, a row for each leaf: its size is known when documents with their texts meet it, and so they needn't be shuffled
+    limits = cut(plan.join(last, list(LEVELS), "left"))
+    placed = into(taking.join(limits, list(LEVELS)))
+    within = F.coalesce(F.expr("part > 0 and (bucket < edge or bucket = edge and inside)"), F.lit(False)).cast("int")
+    entire = placed.withColumn("times", F.col("whole") + within).where("times > 0").withColumn("epoch", F.explode(F.sequence(F.lit(0), F.col("times") - 1))).select(*taken, "epoch", F.col("n_tokens").alias("taken"))
     order = Window.partitionBy(*LEVELS).orderBy("mark", "tie")
-    cutting = near.where("bucket = edge and not inside").withColumn("run", F.col("begin") + F.sum("n_tokens").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("n_tokens"))
+    cutting = placed.where("part > 0 and bucket = edge and not inside").withColumn("run", F.col("begin") + F.sum("n_tokens").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("n_tokens"))
     cutting = cutting.where("run < part").select(*taken, F.col("whole").alias("epoch"), F.least(F.col("n_tokens"), F.col("part") - F.col("run")).alias("taken"))
-    full = placed.where("whole > 0").withColumn("epoch", F.explode(F.sequence(F.lit(0), F.col("whole") - 1))).select(*taken, "epoch", F.col("n_tokens").alias("taken"))
-    out = full.unionByName(inside).unionByName(cutting)
+    out = entire.unionByName(cutting)
     return out if keep else out.drop("tie")
 
 

@@ -686,6 +686,20 @@ def test_mixing(spark, share, epochs):
     assert sorted([tuple(r) for r in got], key=str) == brute_mix(rows, weights, share, epochs, mixing.SEED)
 
 
+def test_mixing_moves_no_texts_to_their_limits(spark):
+    """Texts meet a row for each leaf, which is known to be small, and not the sums of all buckets: no join shuffles them."""
+    docs = spark.range(6000).selectExpr("id doc_id", "repeat(concat('w', id % 97, ' '), 1 + cast(id % 7 as int)) text", "'en' lang", "concat('src', id % 3) source").repartition(1)
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "8k")
+    try:
+        out = mixing.mixed_documents(docs)
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan
+        assert out.selectExpr("sum(regexp_count(text, '[a-z0-9]+'))").first()[0] == int(docs.selectExpr("sum(1 + doc_id % 7)").first()[0]) * 800 // 1000
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+
+
 def test_mixing_odd(spark, odd, empty):
     assert mixing.mix(odd, share=1.0).count() > 0 and mixing.mix(empty).count() == 0
     assert mixing.mixed_documents(odd).columns == odd.columns
