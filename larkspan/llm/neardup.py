@@ -184,6 +184,12 @@ def sets_of(docs: DataFrame, words: int = WORDS) -> DataFrame:
     return docs.mapInArrow(run, "k bigint, s array<bigint>")
 
 
+def meet(left: DataFrame, right: DataFrame, on, how: str = "inner") -> DataFrame:
+    """left and right in a merge join. Adaptive execution would broadcast each small table of each round: in the driver that takes a
+    thread and some MB, whatever the table's size, until the stage ends."""
+    return left.join(right.hint("merge"), on, how)
+
+
 def components(links: DataFrame) -> DataFrame:
     """(k, c): the smallest member of the connected component of each node of links (a, b). Labels spread to neighbours and
     then jump to the label's label, so that the number of rounds grows with the logarithm of a component's width."""
@@ -192,11 +198,11 @@ def components(links: DataFrame) -> DataFrame:
         return both.select(F.col("x").alias("k"), F.col("y").alias("c"))
     labels = cut(both.groupBy(F.col("x").alias("k")).agg(F.least(F.min("y"), F.first("x")).alias("c")))
     while True:
-        near = both.join(labels, both.y == labels.k).groupBy("x").agg(F.min("c").alias("m"))
-        lower = labels.join(near, labels.k == near.x).select("k", F.col("c").alias("was"), F.least("c", "m").alias("c"))
+        near = meet(both, labels, both.y == labels.k).groupBy("x").agg(F.min("c").alias("m"))
+        lower = meet(labels, near, labels.k == near.x).select("k", F.col("c").alias("was"), F.least("c", "m").alias("c"))
         lower = cut(lower)
         up = lower.select(F.col("k").alias("p"), F.col("c").alias("pc"))
-        labels = cut(lower.join(up, lower.c == up.p).select("k", "was", F.least("c", "pc").alias("c")))
+        labels = cut(meet(lower, up, lower.c == up.p).select("k", "was", F.least("c", "pc").alias("c")))
         if labels.where("c <> was").isEmpty():
             return labels.select("k", "c")
         labels = labels.select("k", "c")
@@ -207,7 +213,7 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataF
     left = sets.select(F.col("k").alias("a"), F.col("s").alias("sa"))
     right = sets.select(F.col("k").alias("b"), F.col("s").alias("sb"))
     small, large = F.least(F.size("sa"), F.size("sb")), F.greatest(F.size("sa"), F.size("sb"))
-    joined = pairs.join(left, "a").join(right, "b").where(100 * small >= percent * large)
+    joined = meet(meet(pairs, left, "a"), right, "b").where(100 * small >= percent * large)
     joined = joined.withColumn("i", F.size(F.array_intersect("sa", "sb")))
     return joined.where(100 * F.col("i") >= percent * (F.size("sa") + F.size("sb") - F.col("i")))
 
@@ -220,33 +226,33 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     classes = cut(filled.groupBy("h1", "h2", "n").agg(F.min("k").alias("rep"), F.first("bands").alias("bands"), F.first("bits").alias("bits"), F.first("map").alias("map")))
     banded = classes.select(F.col("rep").alias("k"), F.explode("bands").alias("band"))
     crowded = banded.groupBy("band").agg(F.min("k").alias("lo"), F.max("k").alias("hi")).where("lo < hi").select("band")
-    members = cut(banded.join(crowded, "band"))
+    members = cut(meet(banded, crowded, "band"))
     involved = members.select("k").distinct()
     all_bands = classes.select(F.col("rep").alias("k"), "bands")
-    shapes = cut(classes.join(involved, classes.rep == involved.k, "left_semi").select(F.col("rep").alias("k"), F.struct("n", "bits", "map").alias("shape")))
-    sets = cut(sets_of(rows.join(involved, "k", "left_semi"), words).dropDuplicates())
+    shapes = cut(meet(classes, involved, classes.rep == involved.k, "left_semi").select(F.col("rep").alias("k"), F.struct("n", "bits", "map").alias("shape")))
+    sets = cut(sets_of(meet(rows, involved, "k", "left_semi"), words).dropDuplicates())
     comp = shapes.select("k", F.col("k").alias("c"))
     for turn in range(3):
-        placed = members.join(shapes, "k").join(comp, "k") if turn else members.join(shapes, "k").withColumn("c", F.col("k"))
+        placed = meet(meet(members, shapes, "k"), comp, "k") if turn else meet(members, shapes, "k").withColumn("c", F.col("k"))
         me = F.struct("k", "c", "shape")
         by = lambda i: F.struct((F.xxhash64("k", F.lit(i)) if i else F.col("k")).alias("by"), me.alias("x"))
         per_band = placed.groupBy("band").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), *[F.min(by(i)).alias(f"o{i}") for i in ((0,), (1, 2), ())[turn]]).where("c0 < c1")
         if turn < 2:
             centres = per_band.select("band", F.explode(F.array(*[F.col(f"o{i}.x") for i in ((0,), (1, 2))[turn]])).alias("o"))
-            near = placed.join(centres, "band").where(f"c <> o.c and {alike('shape', 'o.shape', m, percent)}")
+            near = meet(placed, centres, "band").where(f"c <> o.c and {alike('shape', 'o.shape', m, percent)}")
             pairs = near.select(F.least("k", "o.k").alias("a"), F.greatest("k", "o.k").alias("b"), F.least("c", "o.c").alias("ca"), F.greatest("c", "o.c").alias("cb"))
         else:  # all that is left, by components
-            left = cut(placed.join(per_band.select("band"), "band", "left_semi").join(all_bands, "k").select("band", "k", "c", "shape", "bands"))
+            left = cut(meet(meet(placed, per_band.select("band"), "band", "left_semi"), all_bands, "k").select("band", "k", "c", "shape", "bands"))
             x, y = left.alias("x"), left.alias("y")
             # a pair counts in the least band that it shares
-            near = x.join(y, F.expr(f"x.band = y.band and x.c <> y.c and x.k < y.k and {alike('x.shape', 'y.shape', m, percent)} and x.band = array_min(array_intersect(x.bands, y.bands))"))
+            near = meet(x, y, F.expr(f"x.band = y.band and x.c <> y.c and x.k < y.k and {alike('x.shape', 'y.shape', m, percent)} and x.band = array_min(array_intersect(x.bands, y.bands))"))
             pairs = near.selectExpr("x.k a", "y.k b", "least(x.c, y.c) ca", "greatest(x.c, y.c) cb")
         found = verified(pairs.dropDuplicates(["a", "b"]), sets, percent).select(F.col("ca").alias("a"), F.col("cb").alias("b"))
         own = components(cut(found))  # of components that new links join
-        comp = cut(comp.join(own.select(F.col("k").alias("c"), F.col("c").alias("lower")), "c", "left").select("k", F.coalesce("lower", "c").alias("c")))
+        comp = cut(meet(comp, own.select(F.col("k").alias("c"), F.col("c").alias("lower")), "c", "left").select("k", F.coalesce("lower", "c").alias("c")))
     linked = comp.where("c <> k")
-    of_class = classes.join(linked, classes.rep == linked.k, "left").select("h1", "h2", "n", F.coalesce("c", "rep").alias("c"))
-    out = known.select("k", "n", "h1", "h2").join(of_class, ["h1", "h2", "n"], "left")
+    of_class = meet(classes, linked, classes.rep == linked.k, "left").select("h1", "h2", "n", F.coalesce("c", "rep").alias("c"))
+    out = meet(known.select("k", "n", "h1", "h2"), of_class, ["h1", "h2", "n"], "left")
     # rows that share a doc_id are one document: all get the smallest component
     component = F.when(F.col("k").isNotNull(), F.coalesce("c", "k"))
     return out.select(F.col("k").alias("doc_id"), F.col("n").cast("long").alias("n_shingles"), component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
@@ -256,7 +262,7 @@ def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **s
     """The rows of docs, all columns, without those of documents that a smaller doc_id stands for."""
     found = near_duplicates(docs, doc_id, text, **settings)
     gone = found.where("doc_id is not null").groupBy("doc_id").agg(F.max("kept").alias("kept")).where("not kept").select(F.col("doc_id").alias("_gone"))
-    return docs.join(gone, docs[doc_id].cast("long") == gone["_gone"], "left_anti")
+    return meet(docs, gone, docs[doc_id].cast("long") == gone["_gone"], "left_anti")
 
 
 def op9_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:

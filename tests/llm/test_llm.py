@@ -160,6 +160,22 @@ def test_neardup(spark, texts, odd, empty):
     assert neardup.near_duplicates(empty).count() == 0
 
 
+def test_neardup_broadcasts_nothing(spark, monkeypatch):
+    """Small tables of a round aren't sent to the driver: it would hold each until the stage ends."""
+    plans, cut = [], neardup.cut
+
+    def seen(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return cut(df)
+
+    monkeypatch.setattr(neardup, "cut", seen)
+    rows = [(i, " ".join(f"w{(i // 3) * 50 + j}" for j in range(40)) + f" e{i}") for i in range(30)]
+    out = neardup.one_of_each(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    plans.append(out._jdf.queryExecution().executedPlan().toString())
+    assert sorted(r.doc_id for r in out.collect()) == list(range(0, 30, 3))
+    assert sum("SortMergeJoin" in x for x in plans) > 5 and not any("Broadcast" in x for x in plans)
+
+
 def test_superminhash_estimates():
     import numpy as np
 
